@@ -6,8 +6,9 @@ depends on its key alone: any task, retry or cluster gives the same ids.  With r
 the library's own.  Documents are dealt over ``variants`` keyed segmentations by a hash of their id,
 and each task remembers the runs it has segmented, some hundred thousand at most.
 
-No piece of a BPE model with split white space spans the start of a white-space run, so the text is
-segmented run by run.  Decoding gives the text back exactly, the sign U+2581 and control characters
+No piece of a BPE model with split white space spans the start of a white-space run, nor, where the
+vocabulary shows it, the place between a letter and a mark after it, so the text is segmented run by
+run.  Decoding gives the text back exactly, the sign U+2581 and control characters
 included: what the model has no piece for, and U+2581 itself, is spelled in byte pieces.
 """
 
@@ -27,15 +28,14 @@ from pyspark.sql import functions as F
 from .common import batched
 
 SPACE = "▁"
-#: A run: white space of one kind and what follows it.
-RUNS = re.compile(r" +[^ \n]*|\n+[^ \n]*|[^ \n]+")
-_MASK = (1 << 32) - 1
+MARKS = ",.;:!?$%&*#|"
+_MASK, _NONE = (1 << 32) - 1, 1 << 40
 
 
 class PieceCodec:
     """A SentencePiece BPE model with byte pieces; ``rate`` in [0, 1): the share of candidate merges skipped."""
 
-    def __init__(self, path: str, rate: float = 0.0, seed: int = 0, most: int = 300_000):
+    def __init__(self, path: str, rate: float = 0.0, seed: int = 0, most: int = 600_000):
         import sentencepiece
 
         if not 0 <= rate < 1:
@@ -52,6 +52,15 @@ class PieceCodec:
         ]
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in odd}
         self.names = sorted(self.ids, key=lambda p: (-model.get_score(self.ids[p]), self.ids[p]))  # by rank
+        joins = {p[i - 1 : i + 1] for p in self.ids for i in range(1, len(p))}
+        marks, before = set(MARKS), None
+        while marks != before:
+            before = marks
+            marks = {c for c in before if not any(j[1] == c and j[0] not in before and j[0] != SPACE for j in joins)}
+        own = "".join(map(re.escape, sorted(marks)))
+        rest = rf"[^ \n{own}]"
+        #: A run: white space of one kind and what follows it, or marks that no piece joins to what is before them.
+        self.runs = re.compile(rf" +[{own}]*{rest}*|\n+{rest}*|[{own}]+{rest}*|{rest}+" if own else rf" +{rest}*|\n+{rest}*|{rest}+")
         self.rank = {p: r for r, p in enumerate(self.names)}
 
     def _spell(self, symbol: str) -> list[int]:
@@ -109,6 +118,110 @@ class PieceCodec:
                     out.append(known)
         return out
 
+    def _pairs(self) -> None:
+        """The merges as sorted keys (left id, right id), their ranks, and the ids of single characters."""
+        ids = self.ids
+        found = [(ids[p[:i]] << 32 | ids[p[i:]], r) for p, r in self.rank.items() for i in range(1, len(p)) if p[:i] in ids and p[i:] in ids]
+        self.keys, self.key_ranks = (np.array(x) for x in zip(*sorted(found), strict=True))
+        self.rank_ids = np.array([ids[p] for p in self.names])
+        self.chars = -10 - np.arange(0x110000)
+        for p, i in ids.items():
+            if len(p) == 1:
+                self.chars[ord(p)] = i
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = np.where((left >= 0) & (right >= 0), left << 32 | right, -1)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.key_ranks[at], _NONE)
+
+    def segment_many(self, runs: list[str], variant: int) -> list[bytes]:
+        """``segment`` of many short runs at once: their agendas advance step by step together."""
+        if not hasattr(self, "keys"):
+            self._pairs()
+        out: list[bytes] = [b""] * len(runs)
+        groups: dict[int, list[int]] = {}
+        for i, run in enumerate(runs):
+            size = -(-len(run) // 4) * 4
+            if size > 48 or "\0" in run:
+                out[i] = array("i", self.segment(run, variant)).tobytes()
+            else:
+                groups.setdefault(size, []).append(i)
+        salt, limit = (self.seed * 0x9E3779B1 + variant) & _MASK, self.limit
+        for size, where in groups.items():
+            columns = np.arange(size)
+            sizes = np.array([len(runs[i]) for i in where])
+            sym = np.full((len(where), size), -1)
+            sym[columns < sizes[:, None]] = self.chars[np.frombuffer("".join(runs[i] for i in where).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            key = np.array([xxhash.xxh32_intdigest(runs[i], salt) for i in where], np.uint64) if limit else None
+            place = np.tile(columns, (len(where), 1))
+            rank = np.full((len(where), size), _NONE)
+            rank[:, :-1] = self._ranks(sym[:, :-1], sym[:, 1:])
+            done = np.empty_like(sym)
+            row = np.arange(len(where))
+            while len(row):
+                j = np.argmin(rank, axis=1)
+                n = np.arange(len(row))
+                r = rank[n, j]
+                ended = r == _NONE
+                if ended.any():
+                    done[row[ended]] = sym[ended]
+                    go = ~ended
+                    row, sym, place, rank, j, r = row[go], sym[go], place[go], rank[go], j[go], r[go]
+                    n = np.arange(len(row))
+                    if not len(row):
+                        break
+                merge = np.ones(len(row), bool)
+                if limit:
+                    x = (key[row] + place[n, j].astype(np.uint64) * np.uint64(0x9E3779B1) ^ r.astype(np.uint64) * np.uint64(0x85EBCA6B)) & np.uint64(_MASK)
+                    x = (x ^ x >> np.uint64(15)) * np.uint64(0xC2B2AE35) & np.uint64(_MASK)
+                    merge = (x ^ x >> np.uint64(13)) >= limit
+                    rank[n[~merge], j[~merge]] = _NONE
+                m, jm = n[merge], j[merge]
+                sym[m, jm] = self.rank_ids[r[merge]]
+                later = columns[None, :-1] > jm[:, None]
+                for a, fill in ((sym, -1), (place, 0), (rank, _NONE)):
+                    part = a[m]
+                    part[:, :-1] = np.where(later, part[:, 1:], part[:, :-1])
+                    part[:, -1] = fill
+                    a[m] = part
+                after = np.minimum(jm + 1, size - 1)
+                rank[m, jm] = np.where(jm + 1 < size, self._ranks(sym[m, jm], sym[m, after]), _NONE)
+                some = jm > 0
+                m, jm = m[some], jm[some]
+                rank[m, jm - 1] = self._ranks(sym[m, jm - 1], sym[m, jm])
+            full = (done != -1).sum(1)
+            flat, ends = done[done != -1].astype(np.int32), np.cumsum(full)
+            data = flat.tobytes()
+            strange = np.zeros(len(where), bool)
+            strange[np.repeat(np.arange(len(where)), full)[flat < 0]] = True
+            for i, a, b, odd in zip(where, (ends - full).tolist(), ends.tolist(), strange.tolist(), strict=True):
+                if odd:
+                    spelled = [x for s in flat[a:b].tolist() for x in ([s] if s >= 0 else self._spell(chr(-10 - s)))]
+                    out[i] = array("i", spelled).tobytes()
+                else:
+                    out[i] = data[4 * a : 4 * b]
+        return out
+
+    def encode_many(self, texts: list[str], variants: list[int]) -> list[bytes]:
+        """``encode_bytes`` of many texts: what is new in them is segmented together."""
+        out: list[bytes] = [b""] * len(texts)
+        by_variant: dict[int, list[int]] = {}
+        for i, (text, v) in enumerate(zip(texts, variants, strict=True)):
+            if "\0" in text or SPACE in text:
+                out[i] = self.encode_bytes(text, v)
+            elif text:
+                by_variant.setdefault(v if self.limit else 0, []).append(i)
+        for v, where in by_variant.items():
+            memo = self.memos.setdefault(v, {})
+            if len(memo) >= self.most // len(self.memos):
+                memo.clear()
+            split = [self.runs.findall(" " + texts[i]) for i in where]
+            new = list(set().union(*split).difference(memo)) if split else []
+            memo.update(zip(new, self.segment_many([r.replace(" ", SPACE) for r in new], v), strict=True))
+            for i, runs in zip(where, split, strict=True):
+                out[i] = b"".join(map(memo.__getitem__, runs))
+        return out
+
     def encode(self, text: str, variant: int = 0) -> list[int]:
         return array("i", self.encode_bytes(text, variant)).tolist()
 
@@ -119,7 +232,7 @@ class PieceCodec:
         if "\0" in text or SPACE in text:  # rare: marked apart, so that they are spelled in bytes
             text = text.replace("\0", "\0\0").replace(SPACE, "\0" + SPACE)
         memo, out = self.memos.setdefault(variant if self.limit else 0, {}), []
-        for run in RUNS.findall(" " + text):
+        for run in self.runs.findall(" " + text):
             ids = memo.get(run)
             if ids is None:
                 if len(memo) >= self.most // len(self.memos):
@@ -146,7 +259,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(model, rate, seed)
         for batch in batches:
-            coded = [codec.encode_bytes(t or "", v) for t, v in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            coded = codec.encode_many([t or "" for t in batch.column(2).to_pylist()], batch.column(1).to_pylist())
             ends = np.cumsum([0, *map(len, coded)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["id", "variant", "ids"])
