@@ -1 +1,3 @@
+"""Registers every query of the library's own operators."""
 
+from lectern.plans import documents, joins, learning, listing, scalars  # noqa: F401
