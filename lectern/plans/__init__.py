@@ -1,3 +1,3 @@
-"""Registers every query of the library's own operators."""
+"""All queries; importing this registers them."""
 
-from lectern.plans import documents, joins, learning, listing, scalars  # noqa: F401
+from lectern.plans import documents, ingest, joins, learning, listing, scalars, streams  # noqa: F401
