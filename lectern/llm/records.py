@@ -16,6 +16,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,12 @@ class ChunkEncoder:
         return ids, ends[words.offsets]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> ChunkEncoder:
+    """A Python worker's encoder: the tasks that it runs one after the other share its memo."""
+    return ChunkEncoder(path)
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the ids of every text, ``end_id`` after each, in ascending id order; gives the manifest.
 
@@ -110,7 +117,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, i
     batched(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = ChunkEncoder(tokenizer), TaskContext.get()
+        encoder, task = _encoder(tokenizer), TaskContext.get()
         store, folder = file_system(path)
         name = f"{folder}/part-{task.partitionId():05d}-{task.taskAttemptId()}"
         out, index, at, tokens = None, [], 0, 0
