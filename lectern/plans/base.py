@@ -48,6 +48,10 @@ class Dialect:
         """How often the pattern matches."""
         return f"cast(regexp_count({x}, {self.pattern(p)}) as bigint)" if self.spark else f"cast(len(regexp_extract_all({x}, {self.pattern(p)})) as bigint)"
 
+    def all(self, x: str, p: str, group: int = 0) -> str:
+        """Every match, as an array."""
+        return f"regexp_extract_all({x}, {self.pattern(p)}, {group})"
+
     def split(self, x: str, by: str) -> str:
         return f"split({x}, {self.pattern(by)})" if self.spark else f"regexp_split_to_array({x}, {self.pattern(by)})"
 
@@ -110,6 +114,10 @@ VIEWS: dict[str, Callable[[Dialect], str]] = {
     "glossary": lambda d: "select p_partkey as id, p_name as term, p_type as translation, p_brand as tag, cast(p_size % 6 as bigint) as mastery, p_partkey % 200 as doc_id from part",
     "notebooks": lambda d: "select c_custkey as id, c_name as name, c_nationkey as group_id, c_mktsegment as kind from customer",
     "notes": lambda d: "select o_orderkey as id, o_custkey as notebook, case when o_orderstatus = 'F' then null else o_orderpriority end as content, o_totalprice as weight from orders",
+    "text_lines": lambda d: """select doc_id, line_no, (line_no - 1) // 10 + 1 as page, 60 + 17 * ((line_no - 1) % 10) as y, x_start, x_start + least(428, 4 * length(line)) as x_end,
+        case when length(line) < 40 then 16 when line_no % 11 = 0 then 10 else 12 end as font, line from
+        (select doc_id, paragraph_no as line_no, case when doc_id % 5 = 0 and paragraph_no % 2 = 0 then 330 else 72 end as x_start, paragraph as line from paragraphs) p
+        union all select distinct doc_id, 1000000 + (paragraph_no - 1) // 10, (paragraph_no - 1) // 10 + 1, 30, 72, 300, 10, 'Running header of document ' || doc_id from paragraphs where doc_id % 4 = 0""".replace("//", "div" if d.spark else "//"),
     "token_usage": lambda d: "select user_id, cast(sum(cast(floor(value) as bigint)) as bigint) as tokens, count(*) as calls from events where event_type in ('purchase', 'click') group by user_id",
     "limits": lambda d: "select * from (values (0, 'free', 300), (1, 'starter', 1500), (2, 'pro', 6000), (3, 'premium', 50000)) as l(code, plan, cap)",
 }

@@ -7,8 +7,8 @@ from lectern.plans.base import both
 SECTIONS = "^(abstract|introduction|methods?|results|discussion|conclusions?|references)$"
 
 both("SEG1", lambda d: "select doc_id, paragraph_no, paragraph from paragraphs")
-both("SEG5", lambda d: f"select id, {d.like('sentence', ': [A-Z][a-z]+( [^ ]+){4,}')} as opens from sentences where doc_id < 200")
-both("SEG6", lambda d: f"select id, {d.like('sentence', '(et al|e[.]g|i[.]e|vs|cf|Fig|Eq)[.]?$')} as abbreviated from sentences where doc_id < 200")
+both("SEG5", lambda d: f"select id, {d.like('sentence', ': [A-Z][a-z]+( [^ ]+){4,}')} as opens from sentences")
+both("SEG6", lambda d: f"select id, {d.like('sentence', '(et al|e[.]g|i[.]e|vs|cf|Fig|Eq)[.]?$')} as abbreviated from sentences")
 both("BLK2", lambda d: f"""select doc_id, paragraph_no, case when {d.like('paragraph', '^#+ ')} then 'heading' when {d.like('lower(paragraph)', SECTIONS)} then 'heading'
     when {d.like('paragraph', '^([-*•]|[0-9]+[.)]) ')} then 'list' when length(paragraph) < 60 and not {d.like('paragraph', '[.!?,;:]$')} then 'heading' else 'paragraph' end as kind from paragraphs""")
 both("BLK4", lambda d: f"select page_id, {d.size(d.fn(d.split(d.rr('html', '</(p|div|li|h1)>', chr(1)), chr(1)), 'filter', 'x', 'trim(x) <> ' + chr(39) * 2))} as blocks from pages")
@@ -16,5 +16,5 @@ both("ANC2", lambda d: "select doc_id, paragraph_no, min(id) as first_id, max(id
 both("OUT1", lambda d: "select doc_id, paragraph_no, left(paragraph, 60) as preview from paragraphs where length(paragraph) < 80")
 both("PDF13", lambda d: "select event_id, cast(floor(value / 20) as bigint) * 20 as slot, user_id % 3 + 1 as page from events")
 both("SRC9", lambda d: f"select doc_id, {d.rr('text', '(?s)^.*?[*]{3} START[^' + chr(92) + 'n]*' + chr(92) + 'n', '')} as body from documents")
-both("SRC13", lambda d: f"select doc_id, {d.string_agg('sentence', 'id', chr(10))} as body from sentences where doc_id < 50 group by doc_id")
+both("SRC13", lambda d: f"select doc_id, {d.string_agg('sentence', 'id', chr(10))} as body from sentences group by doc_id")
 both("SNK1", lambda d: "select id, title from docs where created_h > 700")

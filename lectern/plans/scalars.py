@@ -77,7 +77,7 @@ both("MTH3", lambda d: f"select conv_id, turn, cast(levenshtein(left({d.rr('text
 both("MTH4", lambda d: f"""select conv_id, turn, round(case when {d.size('a')} = 0 and {d.size('b')} = 0 then 1e0 else {d.size('array_intersect(a, b)' if d.spark else 'list_intersect(a, b)')} * 1e0 /
     {d.size(d.distinct('concat(a, b)' if d.spark else 'list_concat(a, b)'))} end, 6) as jaccard from
     (select x.conv_id, x.turn, {d.distinct(d.split('lower(x.text)', ' +'))} as a, {d.distinct(d.split('lower(y.text)', ' +'))} as b from conversations x join conversations y on x.conv_id = y.conv_id and y.turn = x.turn + 1) p""")
-both("MTH9", lambda d: "select id, case when length(sentence) < 20 then 85e-2 when length(sentence) < 50 then 7e-1 when length(sentence) < 100 then 55e-2 when length(sentence) < 200 then 45e-2 else 35e-2 end as threshold from sentences where doc_id < 200")
+both("MTH9", lambda d: "select id, case when length(sentence) < 20 then 85e-2 when length(sentence) < 50 then 7e-1 when length(sentence) < 100 then 55e-2 when length(sentence) < 200 then 45e-2 else 35e-2 end as threshold from sentences")
 both("MTH11", lambda d: f"select page_id, {d.count('html', '<p[ >]')} as opened, {d.count('html', '</p>')} as closed, round(length({d.rr('html', '<[^>]*>', '')}) * 1e0 / length(html), 6) as density from pages")
 both("ARR5", lambda d: f"select doc_id, {d.join(('array_sort(' if d.spark else 'list_sort(') + d.distinct(d.fn(d.split('lower(' + TITLE + ')', '[^a-z]+'), 'filter', 'w', 'length(w) > 3')) + ')', ' ')} as keywords from documents")
 both("CLS1", lambda d: "select id, case when source_type = 'uploaded' then 'uploaded' when source_type = 'rss' then 'rss' else 'saved' end as origin from docs")
