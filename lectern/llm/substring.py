@@ -93,7 +93,8 @@ def shared_spans(docs: DataFrame, width: int = 50, shard_segments: int = 256) ->
             )
 
     every = written(docs.select("id", "text").mapInArrow(segments, "id long, start int, n int, anchor long, content long"), "segments")
-    met = every.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
+    # a table of its own: the join then needs no partitioning that a count left, so a frequent anchor's rows can be split
+    met = written(every.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor"), "met")
     shared = written(every.join(met, "anchor", "left_semi"), "shared")
     owned = shared.groupBy("anchor", "content").agg(F.min("id").alias("owner"))
     sizes = owned.groupBy("anchor").agg(F.count("*").alias("segments")).where("segments > 1")
