@@ -5,10 +5,14 @@ case, without punctuation around them.  Windows of ``width`` such tokens are has
 windows are hash-joined with the benchmark's, and the values that a document and an item have in
 matched placeholders must correspond one to one over the whole aligned passage.  So an exact copy
 matches, and so does the same question with other names and figures; chance matches of templates
-with muddled values don't.  The benchmark side also holds each window without names, for documents
-in lower case.
+with muddled values don't.
 
-An item of 5 to ``width - 1`` tokens is one window of its own length; a shorter one takes no part.
+Both sides hold each window in three forms: with names; without (a capitalised word is a literal), for
+documents in lower, upper or title case; and exact, with no placeholders.  The first two need enough
+literals, as they match other values too; an exact window needs none, so copies rich in numbers or
+names are found as well.
+
+An item of under ``width`` tokens is one window of its own length; one of under 5 is exact only.
 """
 
 from __future__ import annotations
@@ -37,43 +41,45 @@ UNITS = (
 AROUND = ".,;:!?\"'()[]{}<>«»“”„‘’…-–—*_`"
 NUMBER = r"^[+-]?[$€£]?[0-9]+([.,:/][0-9]+)*(%|[a-z]{1,3})?$"
 SLOT = {"n": 1, "u": 2, "p": 3}
+FORMS = NAMES, NO_NAMES, EXACT = 0, 1, 2
 
 
 class Tokens:
-    """The template tokens of a batch of texts: hashes, kinds (0: a literal) and values, punctuation alone left out."""
+    """The template tokens of a batch of texts: hashes and kinds (0: a literal) in each form, and values, punctuation alone left out."""
 
-    def __init__(self, texts: pa.Array, names: bool = True):
+    def __init__(self, texts: pa.Array):
         words = Words(texts)
         bare = pc.utf8_trim(words.uniq, characters=AROUND)
         self.values = pc.utf8_lower(bare)
-        kind = np.zeros(len(bare), np.int8)
-        if names:
-            kind[pc.match_substring_regex(bare, r"^\p{Lu}[\p{L}'’-]+$").to_numpy(zero_copy_only=False)] = SLOT["p"]
-        kind[pc.is_in(self.values, pa.array(UNITS)).to_numpy(zero_copy_only=False)] = SLOT["u"]
-        kind[pc.match_substring_regex(self.values, NUMBER).to_numpy(zero_copy_only=False)] = SLOT["n"]
+        kind = np.zeros((len(FORMS), len(bare)), np.int8)
+        kind[NAMES, pc.match_substring_regex(bare, r"^\p{Lu}[\p{L}'’-]+$").to_numpy(zero_copy_only=False)] = SLOT["p"]
+        kind[:EXACT, pc.is_in(self.values, pa.array(UNITS)).to_numpy(zero_copy_only=False)] = SLOT["u"]
+        kind[:EXACT, pc.match_substring_regex(self.values, NUMBER).to_numpy(zero_copy_only=False)] = SLOT["n"]
         digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(w, 3) for w in self.values.to_pylist()), np.uint64, len(bare))
-        hashes[kind > 0] = kind[kind > 0].astype(np.uint64)
+        literal = np.fromiter((digest(w, 3) for w in self.values.to_pylist()), np.uint64, len(bare))
+        hashes = np.where(kind > 0, kind.astype(np.uint64), literal)
         full = pc.not_equal(bare, "").to_numpy(zero_copy_only=False)[words.ids] if len(bare) else np.zeros(0, bool)
         self.ids = words.ids[full]
         self.offsets = np.concatenate(([0], np.cumsum(full)))[words.offsets]
-        self.hashes, self.kinds = hashes[self.ids], kind[self.ids]
+        self.hashes, self.kinds = hashes[:, self.ids], kind[:, self.ids]
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, place in the batch, hash) of every window of one text with enough literals."""
+    def windows(self, width: int, form: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place in the batch, hash) of every window of one text; with enough literals, if the form has placeholders."""
         counts = np.diff(self.offsets)
         many = np.maximum(counts - width + 1, 0)
         text = np.repeat(np.arange(len(counts)), many)
         at = np.arange(many.sum()) + np.repeat(self.offsets[:-1] - (np.cumsum(many) - many), many)
-        slots = np.concatenate(([0], np.cumsum(self.kinds > 0)))
-        rich = width - (slots[at + width] - slots[at]) >= min(LITERALS, (width + 1) // 2) if len(at) else np.zeros(0, bool)
-        at, text = at[rich], text[rich]
-        return text, at, window_hashes(self.hashes, width)[at]
+        if form != EXACT and len(at):
+            slots = np.concatenate(([0], np.cumsum(self.kinds[form] > 0)))
+            rich = width - (slots[at + width] - slots[at]) >= min(LITERALS, (width + 1) // 2)
+            at, text = at[rich], text[rich]
+        return text, at, window_hashes(self.hashes[form], width)[at]
 
-    def slots(self, at: int, width: int) -> list[str]:
+    def slots(self, at: int, width: int, form: int) -> list[str]:
         """Kind and value of each placeholder in a window, with its place there."""
-        here = np.flatnonzero(self.kinds[at : at + width])
-        return [f"{self.kinds[at + i]}:{self.values[self.ids[at + i]].as_py()}" for i in here.tolist()]
+        kinds = self.kinds[form]
+        here = np.flatnonzero(kinds[at : at + width])
+        return [f"{kinds[at + i]}:{self.values[self.ids[at + i]].as_py()}" for i in here.tolist()]
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -82,13 +88,13 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, doc = [], batch.column(0).to_pylist()
-            for names in (True, False):
-                tokens = Tokens(batch.column(1), names)
-                counts = np.diff(tokens.offsets)
-                for w in sorted({min(int(c), width) for c in counts if c >= SHORTEST}):
-                    for i, at, h in zip(*(x.tolist() for x in tokens.windows(w)), strict=True):
+            tokens = Tokens(batch.column(1))
+            counts = np.diff(tokens.offsets)
+            for form in FORMS:
+                for w in sorted({min(int(c), width) for c in counts if c >= (1 if form == EXACT else SHORTEST)}):
+                    for i, at, h in zip(*(x.tolist() for x in tokens.windows(w, form)), strict=True):
                         if min(counts[i], width) == w:
-                            rows.append((h - (1 << 64) * (h >> 63), w, doc[i], at - int(tokens.offsets[i]), tokens.slots(at, w), int(counts[i]) - w + 1))
+                            rows.append((h - (1 << 64) * (h >> 63), w, doc[i], at - int(tokens.offsets[i]), tokens.slots(at, w, form), int(counts[i]) - w + 1))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64())
             cols = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
@@ -119,12 +125,16 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         for batch in batches:
             tokens, out = Tokens(batch.column(1)), []
             for w in widths:
-                text, at, h = tokens.windows(w)
-                h = h.view(np.int64)
-                if only is not None and len(only):
-                    hit = only[np.minimum(np.searchsorted(only, h), len(only) - 1)] == h
-                    text, at, h = text[hit], at[hit], h[hit]
-                out += [(i, a - int(tokens.offsets[i]), x, w, tokens.slots(a, w)) for i, a, x in zip(text.tolist(), at.tolist(), h.tolist(), strict=True)]
+                told = np.zeros((len(FORMS), len(tokens.ids)), np.int64)  # a window that is alike in two forms is given once
+                for form in FORMS if w >= SHORTEST else (EXACT,):
+                    text, at, h = tokens.windows(w, form)
+                    h = h.view(np.int64)
+                    new = (told[:form, at] != h).all(axis=0)
+                    told[form, at] = h
+                    if only is not None and len(only):
+                        new[new] = only[np.minimum(np.searchsorted(only, h[new]), len(only) - 1)] == h[new]
+                    text, at, h = text[new], at[new], h[new]
+                    out += [(i, a - int(tokens.offsets[i]), x, w, tokens.slots(a, w, form)) for i, a, x in zip(text.tolist(), at.tolist(), h.tolist(), strict=True)]
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [
