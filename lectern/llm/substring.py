@@ -31,6 +31,8 @@ from .automaton import SuffixAutomaton
 from .common import Words, batched, mixed, window_hashes, written
 
 WORD_SEED, TEXT_SEED = 11, 12
+#: Tells the texts of a repeated id apart.
+MARK = "xxhash64(text)"
 
 
 def anchors_of(words: Words, width: int) -> tuple[np.ndarray, ...]:
@@ -71,12 +73,14 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def shared_spans(docs: DataFrame, width: int = 50, shard_segments: int = 256) -> DataFrame:
-    """(id, start, stop): places of words, stop not included, covered by windows that an earlier id has.
+    """(id, mark, start, stop): places of words, stop not included, covered by windows that an earlier id has.
 
-    ``docs`` has ``id`` (long, not null) and ``text``; spans of one document may overlap.
+    ``docs`` has ``id`` (long, not null) and ``text``; ``mark`` is the text's ``MARK``, as an id may have
+    several texts.  Spans of one text may overlap.
     """
     spark = docs.sparkSession
     batched(spark)
+    docs = docs.select("id", "text", F.expr(MARK).alias("mark"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,26 +88,27 @@ def shared_spans(docs: DataFrame, width: int = 50, shard_segments: int = 256) ->
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(text)),
+                    batch.column(2).take(pa.array(text)),
                     pa.array(start, pa.int32()),
                     pa.array(n, pa.int32()),
                     _signed(anchor),
                     _signed(content),
                 ],
-                ["id", "start", "n", "anchor", "content"],
+                ["id", "mark", "start", "n", "anchor", "content"],
             )
 
-    every = written(docs.select("id", "text").mapInArrow(segments, "id long, start int, n int, anchor long, content long"), "segments")
+    every = written(docs.mapInArrow(segments, "id long, mark long, start int, n int, anchor long, content long"), "segments")
     # a table of its own: the join then needs no partitioning that a count left, so a frequent anchor's rows can be split
     met = written(every.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor"), "met")
     shared = written(every.join(met, "anchor", "left_semi"), "shared")
-    owned = shared.groupBy("anchor", "content").agg(F.min("id").alias("owner"))
+    owned = shared.groupBy("anchor", "content").agg(F.min(F.struct("id", "mark")).alias("least")).select("anchor", "content", F.col("least.id").alias("owner"), F.col("least.mark").alias("mark"))
     sizes = owned.groupBy("anchor").agg(F.count("*").alias("segments")).where("segments > 1")
     owned = written(owned.join(sizes, "anchor", "left"), "owned")
 
     # one text for each segment that has to be compared with others
-    several = owned.where("segments > 1").select("anchor", "content", F.col("owner").alias("id"), "segments")
-    places = shared.join(several, ["anchor", "content", "id"]).groupBy("anchor", "content", "id", "segments", "n").agg(F.min("start").alias("start"))
-    wanted = places.groupBy("id").agg(F.collect_list(F.struct("anchor", "content", "segments", "start", "n")).alias("places"))
+    several = owned.where("segments > 1").select("anchor", "content", F.col("owner").alias("id"), "mark", "segments")
+    places = shared.join(several, ["anchor", "content", "id", "mark"]).groupBy("anchor", "content", "id", "mark", "segments", "n").agg(F.min("start").alias("start"))
+    wanted = places.groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "content", "segments", "start", "n")).alias("places"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +130,7 @@ def shared_spans(docs: DataFrame, width: int = 50, shard_segments: int = 256) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["anchor", "content", "owner", "run", "windows"])
 
     runs = written(
-        docs.select("id", "text").join(wanted, "id").mapInArrow(texts, "anchor long, content long, owner long, run string, windows array<long>"),
+        docs.join(wanted, ["id", "mark"]).select("id", "text", "places").mapInArrow(texts, "anchor long, content long, owner long, run string, windows array<long>"),
         "runs",
     )
 
@@ -165,17 +170,17 @@ def shared_spans(docs: DataFrame, width: int = 50, shard_segments: int = 256) ->
         single.join(least, ["anchor", "window"])
         .where("least < owner")
         .groupBy("anchor", "content")
-        .agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))  # each window of a segment once
+        .agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))  # a repeated row gives a window again
     )
     masks = by_automaton.unionByName(by_window)
     decided = owned.select("anchor", "content", "owner").join(masks, ["anchor", "content"], "left")
     found = shared.join(decided, ["anchor", "content"]).where("id <> owner or mask is not null")
-    whole = found.where("id <> owner").select("id", "start", (F.col("start") + F.col("n") + (width - 1)).alias("stop"))
+    whole = found.where("id <> owner").select("id", "mark", "start", (F.col("start") + F.col("n") + (width - 1)).alias("stop"))
     parts = (
         found.where("id = owner")
-        .select("id", "start", "n", "mask", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+        .select("id", "mark", "start", "n", "mask", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
         .where("shiftright(mask, i) & 1 = 1")
-        .select("id", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + width).alias("stop"))
+        .select("id", "mark", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + width).alias("stop"))
     )
     return whole.unionByName(parts)
 
@@ -220,16 +225,16 @@ def remove_shared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  Each word covered by a window whose words also
     start in a document of a smaller id goes; windows are judged on the input.  A null text has no
     words and stays null; rows with a null id stay as they are; rows that share an id don't
-    count as before each other and lose the words that any of them loses at that place.
+    count as before each other, and each loses what earlier ids have of its own text.
     """
     spark = docs.sparkSession
     batched(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    spans = shared_spans(plain, width).groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = shared_spans(plain, width).groupBy("id", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     rest = [c for c in docs.columns if c != text_col]
-    inner = docs.select(F.struct(*rest).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    inner = docs.select(F.struct(*rest).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.expr(MARK))
     none = F.array().cast("array<struct<start:int,stop:int>>")
-    joined = inner.join(spans, "id", "left").select("row", "text", F.coalesce("spans", none).alias("spans"))
+    joined = inner.join(spans, ["id", "mark"], "left").select("row", "text", F.coalesce("spans", none).alias("spans"))
     schema = joined.select("row", "text").schema.add("n_words", "long").add("n_removed", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
