@@ -16,9 +16,11 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only if it names none."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only on a single machine that names none."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
         there = spark.sparkContext.getCheckpointDir()
     return there.rstrip("/")

@@ -1,13 +1,18 @@
 """Licence scan by canonical digests: entire texts, and entire lines, joined to known licences.
 
-A canonical text is in lower case, without punctuation, without lines that begin with a copyright
-mark, white space collapsed, and with one spelling for words that licences spell in several ways.
+A canonical text is in lower case, without punctuation, without copyright lines (a copyright mark or
+"(c)" with a year at the start, or "all rights reserved"), white space collapsed, and with one spelling for words that licences spell in several ways.
 Its SHA-256 is looked up among the digests of known licences, made the same way.  Only DataFrame
 functions are used; the same steps are given as SQL.
+
+Known are the entire texts below ``licence_texts``, those with terms also without the appendix that
+follows the terms, the short licences and the one-line notices below.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +43,20 @@ _ISC_END = (
     "ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS "
     "ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
+#: Known digests up to which they are broadcast (some hundred bytes each); beyond, the join shuffles.
+BROADCAST_KNOWN = 100_000
+
+
+def _whole_texts() -> list[tuple[str, str]]:
+    """(licence_id, text) of the files beside this module, and of their terms alone."""
+    out = []
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        terms, end, rest = text.partition("END OF TERMS AND CONDITIONS")
+        out += [(path.stem, text)] + ([(path.stem, terms + end), (path.stem, terms)] if rest.strip() else [])
+    return out
+
+
 KNOWN = (
     ("MIT", f"MIT License\n{_GRANT}, subject to the following conditions:\nThe above copyright notice and this permission notice shall be "
      f"included in all copies or substantial portions of the Software.\n{_MIT_END}"),
@@ -46,6 +65,7 @@ KNOWN = (
     ("MIT-0", f"MIT No Attribution\n{_GRANT}.\n{_MIT_END}"),
     ("ISC", f"ISC License\n{_ISC_USE}, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_END}"),
     ("0BSD", f"{_ISC_USE}.\n{_ISC_END}"),
+    *_whole_texts(),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -75,7 +95,8 @@ def canonical_lines(text: str, duckdb: bool = False) -> str:
     x = "lambda x:" if duckdb else "x ->"
     trimmed = f"{each}({lines}, {x} trim(replace(x, '  ', ' ')))"
     mark = "starts_with" if duckdb else "startswith"
-    return f"{only}({trimmed}, {x} x <> '' and not {mark}(x, 'copyright ') and not {mark}(x, 'c copyright') and not {mark}(x, '©'))"
+    marks = ("copyright ", "c copyright", "©", "c 19", "c 20", "all rights reserved")
+    return f"{only}({trimmed}, {x} x <> '' and {' and '.join(f"not {mark}(x, '{m}')" for m in marks)})"
 
 
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
@@ -106,4 +127,5 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
         )
     )
     units = lined.select("id", F.explode(scopes).alias("unit")).select("id", "unit.scope", "unit.digest")
-    return units.join(known, "digest").select("id", "scope", "licence_id").distinct()
+    small = known.limit(BROADCAST_KNOWN + 1).count() <= BROADCAST_KNOWN
+    return units.join(F.broadcast(known) if small else known, "digest").select("id", "scope", "licence_id").distinct()

@@ -28,7 +28,8 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "counts",
     )
-    first = counts.groupBy("copy1", "copy2").agg(F.min("doc_id").alias("first"))
+    # a table of its own: the join then has no partitioning to keep, so a frequent text's rows can be split
+    first = written(counts.groupBy("copy1", "copy2").agg(F.min("doc_id").alias("first")), "first")
     marked = written(counts.join(first, ["copy1", "copy2"]), "marked")
     stays = marked.where("doc_id = first")
 

@@ -147,7 +147,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, i
     ordered = (
         docs.where(F.col(id_col).isNotNull())
         .select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-        .repartitionByRange(parts, "id", "text")
+        .repartitionByRange(parts, "id")  # by id alone: the ranges are sampled to the driver
         .sortWithinPartitions("id", "text")
     )
     return written(ordered.mapInArrow(run, MANIFEST), "manifest")

@@ -74,20 +74,24 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens; keys without documents and tokens are left out."""
-        names = self.committed()
+        return self._totals(self.committed())
+
+    def _totals(self, names: list[str]) -> DataFrame:
         rows = self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/{n}" for n in names)) if names else self.spark.createDataFrame([], SCHEMA)
         sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
-        """Folds all committed batches into one; their names stay taken."""
+        """Folds all committed batches into one; their names stay taken.
+
+        One listing names what is folded: a batch that commits meanwhile is not in it and counts beside the fold.
+        """
         names = self.committed()
         if len(names) < 2:
             return
-        folds = [int(n[5:]) for n in names if n.startswith("fold=")]
-        k = max(folds, default=0) + 1
-        all_batches = [s.getPath().getName() for s in self._store.listStatus(self._at()) if s.getPath().getName().startswith("batch=")]
-        done = [(n,) for n in all_batches if self._store.exists(self._at(n, "_SUCCESS"))]
-        sums = self.totals().withColumnsRenamed({"n_docs": "docs", "n_tokens": "tokens"})
-        self.spark.createDataFrame(done, "name string").coalesce(1).write.mode("overwrite").text(f"{self.path}/folded/{k}")
-        sums.write.mode("overwrite").parquet(f"{self.path}/fold={k}")
+        last = max((int(n[5:]) for n in names if n.startswith("fold=")), default=0)
+        before = [r[0] for r in self.spark.read.text(f"{self.path}/folded/{last}").collect()] if last else []
+        done = [(n,) for n in sorted({*before, *(n for n in names if n.startswith("batch="))})]
+        sums = self._totals(names).withColumnsRenamed({"n_docs": "docs", "n_tokens": "tokens"})
+        self.spark.createDataFrame(done, "name string").coalesce(1).write.mode("overwrite").text(f"{self.path}/folded/{last + 1}")
+        sums.write.mode("overwrite").parquet(f"{self.path}/fold={last + 1}")

@@ -97,5 +97,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_group = firsts.join(groups, firsts.fp == groups.vertex).select("fp", "component", "first")
     least = by_group.groupBy("component").agg(F.min("first").alias("component_id"))
     joined = by_group.join(least, "component").select("fp", "component_id")
-    own = firsts.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # a table of its own: the join below then has no partitioning to keep, so a frequent fingerprint's rows can be split
+    own = written(firsts.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "components")
     return marked.join(own, "fp").select("id", "fp", "component_id")
