@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch; long texts make a batch smaller, never a text shorter.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
@@ -55,6 +56,17 @@ def batched(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def columns_but(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but those of these names, in any case, as Spark tells names apart by default."""
+    out = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in out]
+
+
+def packed(names: list[str]) -> list[Column]:
+    """The columns of these names, whatever signs they hold; a constant if there are none, as a struct needs a field."""
+    return [F.col("`" + n.replace("`", "``") + "`").alias(n) for n in names] or [F.lit(0).alias("none")]
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a batch of texts, each distinct word held once.
 

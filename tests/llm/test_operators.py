@@ -80,10 +80,9 @@ def brute_removed(rows, width=50):
     return out
 
 
-@pytest.mark.parametrize("most", [256, 1])
-def test_substring(spark, docs, empty, most, monkeypatch):
-    monkeypatch.setattr(substring.shared_spans, "__defaults__", (50, most))
-    out = substring.remove_shared(docs)
+@pytest.mark.parametrize("most", [256, 2, 1])
+def test_substring(spark, docs, empty, most):
+    out = substring.remove_shared(docs, shard=most)
     assert out.columns == ["doc_id", "text", "row", "score", "n_words", "n_removed"]
     got = {r.doc_id: (r.n_words, r.n_removed, WORD.findall(r.text or "")) for r in out.collect()}
     assert got == brute_removed([r[:2] for r in ROWS])

@@ -1,4 +1,4 @@
-"""The substring operator on rows that share an id, against brute force, by the automaton and by window hashes."""
+"""The substring operator on rows that share an id, against brute force, with large shards and with small ones."""
 
 import random
 import re
@@ -36,8 +36,7 @@ def brute(rows, width=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("most", [256, 1])
-def test_repeated_ids(spark, most, monkeypatch):
-    monkeypatch.setattr(substring.shared_spans, "__defaults__", (50, most))
-    out = substring.remove_shared(spark.createDataFrame(ROWS, "doc_id long, text string")).collect()
+@pytest.mark.parametrize("most", [256, 2, 1])
+def test_repeated_ids(spark, most):
+    out = substring.remove_shared(spark.createDataFrame(ROWS, "doc_id long, text string"), shard=most).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, WORD.findall(r.text or "")) for r in out) == brute(ROWS)
