@@ -1,10 +1,11 @@
 """SentencePiece (BPE) encoding with seeded merge-dropout, and decoding.
 
 Merges are taken from an agenda ordered by piece score, then place.  Each candidate taken is skipped
-if a hash of (seed, variant, run, place, piece) falls below the dropout rate, so a segmentation
-depends on its key alone: any task, retry or cluster gives the same ids.  With rate 0 the ids are
-the library's own.  Documents are dealt over ``variants`` keyed segmentations by a hash of their id,
-and each task remembers the runs it has segmented, some hundred thousand at most.
+if a hash of (seed, document id, place of its run, place in the run, piece) falls below the dropout
+rate, so a segmentation depends on its key alone: any task, retry or cluster gives the same ids, and a
+word that repeats in a document is cut in varied ways.  With rate 0 the ids are the library's own.
+Each task remembers how the runs it has met are segmented without a skip, and which candidates that
+takes, some hundred thousand at most; where one of them is skipped, the run is segmented anew.
 
 No piece of a BPE model with split white space spans the start of a white-space run, nor, where the
 vocabulary shows it, the place between a letter and a mark after it, so the text is segmented run by
@@ -25,23 +26,37 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched
+from .common import batched, mixed
 
 SPACE = "▁"
 MARKS = ",.;:!?$%&*#|"
 _MASK, _NONE = (1 << 32) - 1, 1 << 40
 
 
+def _place_keys(text_keys: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The key of each run: below 2**32, by its text's key and its place there."""
+    with np.errstate(over="ignore"):
+        return mixed(text_keys + place * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(_MASK)
+
+
+def _drawn(key: np.ndarray, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A number below 2**32 for each candidate: skipped if it is below the limit."""
+    with np.errstate(over="ignore"):
+        x = (key + place * np.uint64(0x9E3779B1) ^ rank * np.uint64(0x85EBCA6B)) & np.uint64(_MASK)
+        x = (x ^ x >> np.uint64(15)) * np.uint64(0xC2B2AE35) & np.uint64(_MASK)
+        return x ^ x >> np.uint64(13)
+
+
 class PieceCodec:
     """A SentencePiece BPE model with byte pieces; ``rate`` in [0, 1): the share of candidate merges skipped."""
 
-    def __init__(self, path: str, rate: float = 0.0, seed: int = 0, most: int = 600_000):
+    def __init__(self, path: str, rate: float = 0.0, most: int = 300_000):
         import sentencepiece
 
         if not 0 <= rate < 1:
             raise ValueError("rate: from 0 to below 1")
         self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.limit, self.seed, self.most, self.memos = int(rate * (1 << 32)), seed, most, {}
+        self.limit, self.most, self.memo = int(rate * (1 << 32)), most, {}
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.bytes = {i: bytes([int(self.pieces[i][3:5], 16)]) for i in range(n) if model.is_byte(i)}
@@ -66,10 +81,13 @@ class PieceCodec:
     def _spell(self, symbol: str) -> list[int]:
         return [self.byte_ids[b] for b in symbol.encode("utf-8", "surrogatepass")]
 
-    def segment(self, run: str, variant: int) -> list[int]:
-        """The ids of one run, whose spaces are U+2581 (a literal U+2581 is U+0000 U+2581 here)."""
+    def segment(self, run: str, key: int = 0, tried: list[int] | None = None) -> list[int]:
+        """The ids of one run, whose spaces are U+2581 (a literal U+2581 is U+0000 U+2581 here).
+
+        ``key``: of this place of this text, below 2**32; ``tried`` gets the candidates taken, as place << 32 | rank.
+        """
         symbols = re.findall("\0?.", run, re.DOTALL) if "\0" in run else list(run)
-        rank, names, limit, n = self.rank, self.names, self.limit, len(symbols)
+        rank, names, limit, n = self.rank, self.names, 0 if tried is not None else self.limit, len(symbols)
         agenda, left = [], symbols[0]
         for i in range(1, n):
             right = symbols[i]
@@ -79,7 +97,6 @@ class PieceCodec:
             left = right
         if agenda:
             heapify(agenda)
-            key = xxhash.xxh32_intdigest(run, (self.seed * 0x9E3779B1 + variant) & _MASK) if limit else 0
             before, after = list(range(-1, n - 1)), list(range(1, n + 1))
             while agenda:
                 item = heappop(agenda)
@@ -90,6 +107,8 @@ class PieceCodec:
                 r = item >> 32
                 if symbols[i] + symbols[j] != names[r] or not symbols[i]:
                     continue  # a part was merged elsewhere
+                if tried is not None:
+                    tried.append(i << 32 | r)
                 if limit:
                     x = (key + i * 0x9E3779B1 ^ r * 0x85EBCA6B) & _MASK
                     x = (x ^ x >> 15) * 0xC2B2AE35 & _MASK
@@ -134,112 +153,165 @@ class PieceCodec:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.key_ranks[at], _NONE)
 
-    def segment_many(self, runs: list[str], variant: int) -> list[bytes]:
-        """``segment`` of many short runs at once: their agendas advance step by step together."""
+    def segment_many(self, runs: list[str], keys: np.ndarray | None = None, tried: list[bytes] | None = None) -> list[bytes]:
+        """``segment`` of many short runs at once: their agendas advance step by step together.
+
+        ``keys``: one a run; without them nothing is skipped, and ``tried`` gets each run's candidates.
+        """
         if not hasattr(self, "keys"):
             self._pairs()
         out: list[bytes] = [b""] * len(runs)
+        seen: list[bytes] = [b""] * len(runs)
         groups: dict[int, list[int]] = {}
         for i, run in enumerate(runs):
             size = -(-len(run) // 4) * 4
             if size > 48 or "\0" in run:
-                out[i] = array("i", self.segment(run, variant)).tobytes()
+                mine: list[int] | None = None if keys is not None else []
+                out[i] = array("i", self.segment(run, 0 if keys is None else int(keys[i]), mine)).tobytes()
+                seen[i] = array("Q", mine or []).tobytes()
             else:
                 groups.setdefault(size, []).append(i)
-        salt, limit = (self.seed * 0x9E3779B1 + variant) & _MASK, self.limit
-        for size, where in groups.items():
-            columns = np.arange(size)
-            sizes = np.array([len(runs[i]) for i in where])
-            sym = np.full((len(where), size), -1)
-            sym[columns < sizes[:, None]] = self.chars[np.frombuffer("".join(runs[i] for i in where).encode("utf-32-le", "surrogatepass"), np.uint32)]
-            key = np.array([xxhash.xxh32_intdigest(runs[i], salt) for i in where], np.uint64) if limit else None
-            place = np.tile(columns, (len(where), 1))
-            rank = np.full((len(where), size), _NONE)
-            rank[:, :-1] = self._ranks(sym[:, :-1], sym[:, 1:])
-            done = np.empty_like(sym)
-            row = np.arange(len(where))
-            while len(row):
-                j = np.argmin(rank, axis=1)
+        for size, every in groups.items():
+            for k in range(0, len(every), 20_000):
+                self._advance(runs, every[k : k + 20_000], size, keys, out, seen)
+        if tried is not None:
+            tried += seen
+        return out
+
+    def _advance(self, runs: list[str], where: list[int], size: int, keys: np.ndarray | None, out: list[bytes], seen: list[bytes]) -> None:
+        limit, columns = self.limit, np.arange(size)
+        sizes = np.array([len(runs[i]) for i in where])
+        sym = np.full((len(where), size), -1)
+        sym[columns < sizes[:, None]] = self.chars[np.frombuffer("".join(runs[i] for i in where).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        key = keys[where].astype(np.uint64) if keys is not None else None
+        place = np.tile(columns, (len(where), 1))
+        rank = np.full((len(where), size), _NONE)
+        rank[:, :-1] = self._ranks(sym[:, :-1], sym[:, 1:])
+        done = np.empty_like(sym)
+        row, taken = np.arange(len(where)), []
+        while len(row):
+            j = np.argmin(rank, axis=1)
+            n = np.arange(len(row))
+            r = rank[n, j]
+            ended = r == _NONE
+            if ended.any():
+                done[row[ended]] = sym[ended]
+                go = ~ended
+                row, sym, place, rank, j, r = row[go], sym[go], place[go], rank[go], j[go], r[go]
                 n = np.arange(len(row))
-                r = rank[n, j]
-                ended = r == _NONE
-                if ended.any():
-                    done[row[ended]] = sym[ended]
-                    go = ~ended
-                    row, sym, place, rank, j, r = row[go], sym[go], place[go], rank[go], j[go], r[go]
-                    n = np.arange(len(row))
-                    if not len(row):
-                        break
-                merge = np.ones(len(row), bool)
-                if limit:
-                    x = (key[row] + place[n, j].astype(np.uint64) * np.uint64(0x9E3779B1) ^ r.astype(np.uint64) * np.uint64(0x85EBCA6B)) & np.uint64(_MASK)
-                    x = (x ^ x >> np.uint64(15)) * np.uint64(0xC2B2AE35) & np.uint64(_MASK)
-                    merge = (x ^ x >> np.uint64(13)) >= limit
-                    rank[n[~merge], j[~merge]] = _NONE
+                if not len(row):
+                    break
+            at = place[n, j].astype(np.uint64)
+            if key is None:
+                taken.append((row, at << np.uint64(32) | r.astype(np.uint64)))
+                m, jm = n, j
+            else:
+                merge = _drawn(key[row], at, r.astype(np.uint64)) >= limit
+                rank[n[~merge], j[~merge]] = _NONE
                 m, jm = n[merge], j[merge]
-                sym[m, jm] = self.rank_ids[r[merge]]
-                later = columns[None, :-1] > jm[:, None]
-                for a, fill in ((sym, -1), (place, 0), (rank, _NONE)):
-                    part = a[m]
-                    part[:, :-1] = np.where(later, part[:, 1:], part[:, :-1])
-                    part[:, -1] = fill
-                    a[m] = part
-                after = np.minimum(jm + 1, size - 1)
-                rank[m, jm] = np.where(jm + 1 < size, self._ranks(sym[m, jm], sym[m, after]), _NONE)
-                some = jm > 0
-                m, jm = m[some], jm[some]
-                rank[m, jm - 1] = self._ranks(sym[m, jm - 1], sym[m, jm])
-            full = (done != -1).sum(1)
-            flat, ends = done[done != -1].astype(np.int32), np.cumsum(full)
-            data = flat.tobytes()
-            strange = np.zeros(len(where), bool)
-            strange[np.repeat(np.arange(len(where)), full)[flat < 0]] = True
-            for i, a, b, odd in zip(where, (ends - full).tolist(), ends.tolist(), strange.tolist(), strict=True):
-                if odd:
-                    spelled = [x for s in flat[a:b].tolist() for x in ([s] if s >= 0 else self._spell(chr(-10 - s)))]
-                    out[i] = array("i", spelled).tobytes()
-                else:
-                    out[i] = data[4 * a : 4 * b]
-        return out
+            sym[m, jm] = self.rank_ids[r[m]]
+            later = columns[None, :-1] > jm[:, None]
+            for a, fill in ((sym, -1), (place, 0), (rank, _NONE)):
+                part = a[m]
+                part[:, :-1] = np.where(later, part[:, 1:], part[:, :-1])
+                part[:, -1] = fill
+                a[m] = part
+            after = np.minimum(jm + 1, size - 1)
+            rank[m, jm] = np.where(jm + 1 < size, self._ranks(sym[m, jm], sym[m, after]), _NONE)
+            some = jm > 0
+            m, jm = m[some], jm[some]
+            rank[m, jm - 1] = self._ranks(sym[m, jm - 1], sym[m, jm])
+        full = (done != -1).sum(1)
+        flat, ends = done[done != -1].astype(np.int32), np.cumsum(full)
+        data = flat.tobytes()
+        strange = np.zeros(len(where), bool)
+        strange[np.repeat(np.arange(len(where)), full)[flat < 0]] = True
+        for i, a, b, odd in zip(where, (ends - full).tolist(), ends.tolist(), strange.tolist(), strict=True):
+            if odd:
+                spelled = [x for s in flat[a:b].tolist() for x in ([s] if s >= 0 else self._spell(chr(-10 - s)))]
+                out[i] = array("i", spelled).tobytes()
+            else:
+                out[i] = data[4 * a : 4 * b]
+        if taken:
+            rows, codes = (np.concatenate(x) for x in zip(*taken, strict=True))
+            order = np.argsort(rows, kind="stable")
+            data, ends = codes[order].tobytes(), np.cumsum(np.bincount(rows, minlength=len(where))).tolist()
+            for i, a, b in zip(where, [0, *ends], ends, strict=False):
+                seen[i] = data[8 * a : 8 * b]
+
+    def _learn(self, runs: list[str]) -> None:
+        """Remembers the segmentation of runs without any skip, and the candidates that it takes."""
+        if len(self.memo) >= self.most:
+            self.memo.clear()
+            runs = list(dict.fromkeys(runs))
+        new = [r for r in runs if r not in self.memo]
+        tried: list[bytes] = []
+        coded = self.segment_many([r.replace(" ", SPACE) for r in new], None, tried)
+        self.memo.update(zip(new, zip(coded, tried, strict=True), strict=True))
 
-    def encode_many(self, texts: list[str], variants: list[int]) -> list[bytes]:
-        """``encode_bytes`` of many texts: what is new in them is segmented together."""
+    def encode_many(self, texts: list[str], keys: list[int]) -> list[bytes]:
+        """``encode_bytes`` of many texts.
+
+        The candidates of every run at every place are drawn; a run of which none is skipped is segmented
+        as ever, and the others are segmented together.
+        """
         out: list[bytes] = [b""] * len(texts)
-        by_variant: dict[int, list[int]] = {}
-        for i, (text, v) in enumerate(zip(texts, variants, strict=True)):
+        where, split = [], []
+        for i, text in enumerate(texts):
             if "\0" in text or SPACE in text:
-                out[i] = self.encode_bytes(text, v)
+                out[i] = self.encode_bytes(text, keys[i])
             elif text:
-                by_variant.setdefault(v if self.limit else 0, []).append(i)
-        for v, where in by_variant.items():
-            memo = self.memos.setdefault(v, {})
-            if len(memo) >= self.most // len(self.memos):
-                memo.clear()
-            split = [self.runs.findall(" " + texts[i]) for i in where]
-            new = list(set().union(*split).difference(memo)) if split else []
-            memo.update(zip(new, self.segment_many([r.replace(" ", SPACE) for r in new], v), strict=True))
-            for i, runs in zip(where, split, strict=True):
-                out[i] = b"".join(map(memo.__getitem__, runs))
+                where.append(i)
+                split.append(self.runs.findall(" " + text))
+        lo = 0
+        while lo < len(where):  # some hundred thousand runs at a time
+            hi, many = lo, 0
+            while hi < len(where) and (hi == lo or many + len(split[hi]) <= 400_000):
+                many += len(split[hi])
+                hi += 1
+            self._encode(where[lo:hi], split[lo:hi], keys, out)
+            lo = hi
         return out
 
-    def encode(self, text: str, variant: int = 0) -> list[int]:
-        return array("i", self.encode_bytes(text, variant)).tolist()
+    def _encode(self, where: list[int], split: list[list[str]], keys: list[int], out: list[bytes]) -> None:
+        flat = [r for runs in split for r in runs]
+        number = {r: k for k, r in enumerate(dict.fromkeys(flat))}
+        self._learn(list(number))
+        known = [self.memo[r] for r in number]
+        which = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+        coded = [known[k][0] for k in which.tolist()]
+        if self.limit:
+            sizes = np.array([len(runs) for runs in split])
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            own = _place_keys(np.repeat(np.array([keys[i] for i in where], np.uint64), sizes), place.astype(np.uint64))
+            codes = np.frombuffer(b"".join(k[1] for k in known), np.uint64)
+            n = np.array([len(k[1]) // 8 for k in known])
+            first, each = (np.cumsum(n) - n)[which], n[which]
+            for lo in range(0, len(flat), 100_000):
+                m = each[lo : lo + 100_000]
+                row = np.repeat(np.arange(lo, lo + len(m)), m)
+                code = codes[np.arange(len(row)) + np.repeat(first[lo : lo + len(m)] - (np.cumsum(m) - m), m)]
+                skipped = np.unique(row[_drawn(own[row], code >> np.uint64(32), code & np.uint64(_MASK)) < self.limit])
+                runs = [flat[i].replace(" ", SPACE) for i in skipped.tolist()]
+                for i, ids in zip(skipped.tolist(), self.segment_many(runs, own[skipped]), strict=True):
+                    coded[i] = ids
+        at = 0
+        for i, runs in zip(where, split, strict=True):
+            out[i] = b"".join(coded[at : at + len(runs)])
+            at += len(runs)
+
+    def encode(self, text: str, key: int = 0) -> list[int]:
+        return array("i", self.encode_bytes(text, key)).tolist()
 
-    def encode_bytes(self, text: str, variant: int = 0) -> bytes:
-        """The ids as native 32-bit integers: bytes, unlike lists, cost the collector nothing."""
+    def encode_bytes(self, text: str, key: int = 0) -> bytes:
+        """The ids as native 32-bit integers; ``key``: of the text, below 2**64.  Run by run, without a memo."""
         if not text:
             return b""
         if "\0" in text or SPACE in text:  # rare: marked apart, so that they are spelled in bytes
             text = text.replace("\0", "\0\0").replace(SPACE, "\0" + SPACE)
-        memo, out = self.memos.setdefault(variant if self.limit else 0, {}), []
-        for run in self.runs.findall(" " + text):
-            ids = memo.get(run)
-            if ids is None:
-                if len(memo) >= self.most // len(self.memos):
-                    memo.clear()
-                ids = memo[run] = array("i", self.segment(run.replace(" ", SPACE), variant)).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        runs = self.runs.findall(" " + text)
+        own = _place_keys(np.full(len(runs), key, np.uint64), np.arange(len(runs), dtype=np.uint64)).tolist()
+        return b"".join(array("i", self.segment(r.replace(" ", SPACE), k)).tobytes() for r, k in zip(runs, own, strict=True))
 
     def decode(self, ids: list[int]) -> str:
         """The text; ids of control pieces give nothing."""
@@ -247,39 +319,36 @@ class PieceCodec:
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "surrogatepass")
 
 
-def encode(
-    docs: DataFrame, model: str, rate: float = 0.1, seed: int = 0, variants: int = 8, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(id, variant, ids array<int>) for every row; a null text is empty, an empty text has no ids.
+def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>) for every row; a null text is empty, an empty text has no ids.
 
-    A row of null id gets variant 0.  Repeated ids share a variant.
+    The key is of (seed, id): rows of equal id and text get equal ids, and rows of null id share a key.
+    Another seed gives other segmentations.  Other columns don't matter.
     """
     batched(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model, rate, seed)
+        codec = PieceCodec(model, rate)
         for batch in batches:
-            coded = codec.encode_many([t or "" for t in batch.column(2).to_pylist()], batch.column(1).to_pylist())
+            keys = [xxhash.xxh64_intdigest(str(i), seed) for i in batch.column(0).to_pylist()]
+            coded = codec.encode_many([t or "" for t in batch.column(1).to_pylist()], keys)
             ends = np.cumsum([0, *map(len, coded)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["id", "variant", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
 
-    variant = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(seed)), F.lit(variants)).cast("int")
-    one = F.when(F.col(id_col).isNull(), 0).otherwise(variant)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), one.alias("variant"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, variant int, ids array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, ids array<int>")
 
 
 def decode(coded: DataFrame, model: str) -> DataFrame:
-    """``coded`` (id, variant, ids) with ``text``."""
+    """``coded`` (id, ids) with ``text``."""
     batched(coded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(model)
         for batch in batches:
-            flat, at = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
+            flat, at = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
             text = [codec.decode(flat[a:b].tolist()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*batch.schema.names, "text"])
 
-    one = coded.select("id", "variant", "ids")
-    return one.mapInArrow(run, "id long, variant int, ids array<int>, text string")
+    return coded.select("id", "ids").mapInArrow(run, "id long, ids array<int>, text string")

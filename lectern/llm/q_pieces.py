@@ -6,16 +6,15 @@ from pyspark.sql import functions as F
 from . import pieces
 from .records import session_tokenizer
 
-RATE, SEED, VARIANTS = 0.1, 7, 4
+RATE, SEED = 0.1, 7
 
 
 def coded(docs: DataFrame) -> DataFrame:
-    """Encoded with dropout and decoded again: doc_id, variant, n_pieces, ids_sha256, text_sha256 of what was decoded."""
+    """Encoded with dropout and decoded again: doc_id, n_pieces, ids_sha256, text_sha256 of what was decoded."""
     model = session_tokenizer(docs.sparkSession, "piece_bpe_32k.model")
-    back = pieces.decode(pieces.encode(docs, model, RATE, SEED, VARIANTS), model)
+    back = pieces.decode(pieces.encode(docs, model, RATE, SEED), model)
     return back.select(
         F.col("id").alias("doc_id"),
-        "variant",
         F.size("ids").cast("long").alias("n_pieces"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("text_sha256"),

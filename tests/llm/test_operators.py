@@ -120,16 +120,25 @@ def test_records(spark, docs, empty):
 def test_pieces(spark, docs):
     model = records.session_tokenizer(spark, "piece_bpe_32k.model")
     odd = ["\0", "a\0b ▁", "  a  b", "\n\n x", "😀 é́", ",,, .a", "<s> <0x41>", *(t or "" for t in TEXTS)]
-    plain, dropped = pieces.PieceCodec(model), pieces.PieceCodec(model, 0.3, 5)
+    plain, dropped = pieces.PieceCodec(model), pieces.PieceCodec(model, 0.3)
     for t in odd:
         if "\0" not in t and "▁" not in t:
             assert plain.encode(t) == plain.model.encode(t)
-        for v in (0, 1):
-            assert dropped.decode(dropped.encode(t, v)) == t
-    assert dropped.encode_many(odd, [1] * len(odd)) == [dropped.encode_bytes(t, 1) for t in odd]
+        for key in (0, 1):
+            assert dropped.decode(dropped.encode(t, key)) == t
+    keys = list(range(len(odd)))
+    assert dropped.encode_many(odd, keys) == [dropped.encode_bytes(t, k) for t, k in zip(odd, keys, strict=True)]
     assert dropped.encode(TEXTS[5], 0) != dropped.encode(TEXTS[5], 1) != plain.encode(TEXTS[5])
-    back = pieces.decode(pieces.encode(docs, model, 0.1, 3), model)
+    repeated = "wonderful segmentation " * 200
+    cuts = [tuple(dropped.segment("▁segmentation", k)) for k in pieces._place_keys(np.full(400, 3, np.uint64), np.arange(400, dtype=np.uint64)).tolist()[1::2]]
+    assert len(set(cuts)) > 10  # a word that repeats in a document is cut in varied ways
+    assert dropped.decode(dropped.encode(repeated, 3)) == repeated
+    back = pieces.decode(pieces.encode(docs.withColumn("ids", F.lit(1)), model, 0.1, 3), model)
     assert {r.id: r.text for r in back.collect()} == {i: t or "" for i, t, *_ in ROWS}
+    assert pieces.encode(docs.limit(0), model).count() == 0
+    again = spark.createDataFrame([(1, "one more"), (1, "one more"), (None, "one more"), (None, None)], "doc_id long, text string")
+    got = [(r.id, tuple(r.ids)) for r in pieces.encode(again, model, 0.5, 3).collect()]
+    assert got[0] == got[1] and got[3] == (None, ())
 
 
 def test_templates(spark, empty):
