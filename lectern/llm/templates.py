@@ -1,16 +1,17 @@
 """Benchmark decontamination by template windows.
 
-Numbers, names (capitalised words) and units become typed placeholders; other words count in lower
-case, without punctuation around them.  Windows of ``width`` such tokens are hashed, the corpus's
+Numbers, names (capitalised words) and units become typed placeholders (units of at most three letters only
+behind a number: "in" is mostly a word); other words count in lower case, without punctuation around them.  Windows of ``width`` such tokens are hashed, the corpus's
 windows are hash-joined with the benchmark's, and the values that a document and an item have in
 matched placeholders must correspond one to one over the whole aligned passage.  So an exact copy
 matches, and so does the same question with other names and figures; chance matches of templates
 with muddled values don't.
 
 Both sides hold each window in three forms: with names; without (a capitalised word is a literal), for
-documents in lower, upper or title case; and exact, with no placeholders.  The first two need enough
-literals, as they match other values too; an exact window needs none, so copies rich in numbers or
-names are found as well.
+documents in lower, upper or title case; and exact, with no placeholders.  A window may hold any number of
+placeholders but needs a literal, and all matched windows of a passage together ``LITERALS`` of them
+(half the tokens, if the item has few): runs of names or numbers alone are alike in any two texts.  An
+exact window is all literals, so copies rich in numbers or names are found whatever they hold.
 
 An item of under ``width`` tokens is one window of its own length; one of under 5 is exact only.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, batched, window_hashes, written
 
-WIDTH, SHORTEST, LITERALS = 13, 5, 8
+WIDTH, SHORTEST, LITERALS = 13, 5, 4
 #: Benchmark windows up to which their hashes and rows are broadcast (8 bytes each hash); beyond, the join shuffles.
 BROADCAST_WINDOWS = 500_000
 # Units of measure, as words and as abbreviations.
@@ -62,16 +63,23 @@ class Tokens:
         self.ids = words.ids[full]
         self.offsets = np.concatenate(([0], np.cumsum(full)))[words.offsets]
         self.hashes, self.kinds = hashes[:, self.ids], kind[:, self.ids]
+        if len(self.ids):
+            after = np.concatenate(([False], self.kinds[NAMES, :-1] == SLOT["n"]))
+            after[self.offsets[:-1][np.diff(self.offsets) > 0]] = False
+            word = (pc.utf8_length(self.values).to_numpy() <= 3)[self.ids] & pc.match_substring_regex(self.values, "^[a-z/]+$").to_numpy(zero_copy_only=False)[self.ids]
+            for form in (NAMES, NO_NAMES):
+                plain = word & ~after & (self.kinds[form] == SLOT["u"])
+                self.kinds[form, plain], self.hashes[form, plain] = 0, literal[self.ids[plain]]
 
     def windows(self, width: int, form: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, place in the batch, hash) of every window of one text; with enough literals, if the form has placeholders."""
+        """(text, place in the batch, hash) of every window of one text that holds a literal."""
         counts = np.diff(self.offsets)
         many = np.maximum(counts - width + 1, 0)
         text = np.repeat(np.arange(len(counts)), many)
         at = np.arange(many.sum()) + np.repeat(self.offsets[:-1] - (np.cumsum(many) - many), many)
         if form != EXACT and len(at):
             slots = np.concatenate(([0], np.cumsum(self.kinds[form] > 0)))
-            rich = width - (slots[at + width] - slots[at]) >= min(LITERALS, (width + 1) // 2)
+            rich = slots[at + width] - slots[at] < width
             at, text = at[rich], text[rich]
         return text, at, window_hashes(self.hashes[form], width)[at]
 
@@ -81,9 +89,13 @@ class Tokens:
         here = np.flatnonzero(kinds[at : at + width])
         return [f"{kinds[at + i]}:{self.values[self.ids[at + i]].as_py()}" for i in here.tolist()]
 
+    def literals(self, at: int, width: int, form: int) -> list[int]:
+        """Where the literals of a window are, from its start."""
+        return np.flatnonzero(self.kinds[form][at : at + width] == 0).tolist()
+
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(hash, width, item, place, slots, windows) for every window of every item; windows: how many the item has."""
+    """(hash, width, item, place, slots, literals, windows) for every window of every item; windows: how many the item has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,15 +106,17 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
                 for w in sorted({min(int(c), width) for c in counts if c >= (1 if form == EXACT else SHORTEST)}):
                     for i, at, h in zip(*(x.tolist() for x in tokens.windows(w, form)), strict=True):
                         if min(counts[i], width) == w:
-                            rows.append((h - (1 << 64) * (h >> 63), w, doc[i], at - int(tokens.offsets[i]), tokens.slots(at, w, form), int(counts[i]) - w + 1))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64())
-            cols = list(zip(*rows, strict=True)) or [()] * 6
+                            place = at - int(tokens.offsets[i])
+                            literals = [place + k for k in tokens.literals(at, w, form)]
+                            rows.append((h - (1 << 64) * (h >> 63), w, doc[i], place, tokens.slots(at, w, form), literals, int(counts[i]) - w + 1))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64())
+            cols = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["hash", "width", "item", "place", "slots", "windows"]
+                [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["hash", "width", "item", "place", "slots", "literals", "windows"]
             )
 
     rows = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, "hash long, width int, item long, place long, slots array<string>, windows long").distinct()
+    return rows.mapInArrow(run, "hash long, width int, item long, place long, slots array<string>, literals array<long>, windows long").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -154,7 +168,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         F.array_distinct(F.flatten(F.collect_set(F.expr("arrays_zip(slots, values)")))).alias("pairs"),
         F.count_distinct("place").alias("matched"),
         F.max("windows").alias("windows"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("literals")))).alias("literals"),
+        F.max(F.least(F.lit(LITERALS), F.floor((F.col("width") + 1) / 2))).alias("needed"),
     )
+    passage = passage.where("literals >= needed")
     sides = [F.array_distinct(F.col("pairs")[k]) for k in ("slots", "values")]
     consistent = passage.where((F.size(sides[0]) == F.size("pairs")) & (F.size(sides[1]) == F.size("pairs")))
     return consistent.groupBy("id", "item").agg(

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, batched, columns_but, packed, written
 
-LETTERS, DECAY, PART, SHARP = 4, 0.9, 0.25, 2
+LETTERS, DECAY, PART, SHARP = 4, 0.95, 0.15, 2
 #: Labelled documents of each class, and candidate words of each class, that a fit takes at most.
 MOST_ROWS, MOST_WORDS = 3000, 1000
 CLEAN_PIECES, ROUNDS = 3, 3

@@ -6,7 +6,6 @@ from lectern.plans.base import both
 
 SECTIONS = "^(abstract|introduction|methods?|results|discussion|conclusions?|references)$"
 
-both("SEG1", lambda d: "select doc_id, paragraph_no, paragraph from paragraphs")
 both("SEG5", lambda d: f"select id, {d.like('sentence', ': [A-Z][a-z]+( [^ ]+){4,}')} as opens from sentences")
 both("SEG6", lambda d: f"select id, {d.like('sentence', '(et al|e[.]g|i[.]e|vs|cf|Fig|Eq)[.]?$')} as abbreviated from sentences")
 both("BLK2", lambda d: f"""select doc_id, paragraph_no, case when {d.like('paragraph', '^#+ ')} then 'heading' when {d.like('lower(paragraph)', SECTIONS)} then 'heading'
