@@ -66,6 +66,10 @@ class Dialect:
     def distinct(self, x: str) -> str:
         return f"array_distinct({x})" if self.spark else f"list_distinct({x})"
 
+    def ordered_distinct(self, x: str) -> str:
+        """The elements in the order of their first places."""
+        return f"array_distinct({x})" if self.spark else f"list_transform(list_sort(list_transform(list_distinct({x}), lambda e: {{'at': list_position({x}, e), 'e': e}})), lambda s: s.e)"
+
     def join(self, x: str, sep: str) -> str:
         return f"array_join({x}, '{sep}')" if self.spark else f"array_to_string({x}, '{sep}')"
 
@@ -101,7 +105,7 @@ VIEWS: dict[str, Callable[[Dialect], str]] = {
     "paragraphs": lambda d: "select doc_id, paragraph_no, trim(paragraph) as paragraph from "
     + d.explode("doc_id", "documents", d.split("text", r"\n"), "paragraph")
     + " p where trim(paragraph) <> ''",
-    "sentences": lambda d: "select doc_id, paragraph_no, sentence_no, doc_id * 1000000 + paragraph_no * 1000 + sentence_no as id, sentence from "
+    "sentences": lambda d: "select doc_id, paragraph_no, sentence_no, doc_id * 10000000000 + paragraph_no * 100000 + sentence_no as id, sentence from "
     + d.explode("doc_id, paragraph_no", "paragraphs", d.split("paragraph", r"\. "), "sentence")
     + " s where sentence <> ''",
     "review_events": lambda d: "select user_id, event_id % 40 as item, ts, event_id, value >= 50 as ok, case when value < 100 then 'again' when value < 250 then 'hard' else 'good' end as rating from events",
@@ -135,7 +139,10 @@ def with_views(sql: str, d: Dialect) -> str:
                     need.append(name)
 
     add(sql)
-    return ("with " + ", ".join(f"{n} as ({VIEWS[n](d)})" for n in need) + " " if need else "") + sql
+    if not need:
+        return sql
+    own = ", " + sql.removeprefix("with ") if sql.startswith("with ") else " " + sql
+    return "with " + ", ".join(f"{n} as ({VIEWS[n](d)})" for n in need) + own
 
 
 def both(name: str, sql: Callable[[Dialect], str]) -> None:

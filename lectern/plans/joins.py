@@ -5,13 +5,14 @@ from __future__ import annotations
 from lectern.plans.base import both
 
 both("JN1", lambda d: "select s.id, s.sentence from sentences s join docs t on s.doc_id = t.id where t.owner = 8 order by s.id")
-both("JN2", lambda d: """select s.id, i.level from sentences s left join (select item, level from item_state where user_id = 3) i on s.id % 40 = i.item where s.doc_id < 20""")
+both("JN2", lambda d: """select s.id, i.level, n.content as note from sentences s left join (select item, level from item_state where user_id = 3) i on s.id % 40 = i.item
+    left join (select id, content from notes where notebook % 50 = 3) n on n.id = s.id""")
 both("JN3", lambda d: """select s.id, coalesce(i.level > 2, false) as bookmarked, case when i.level is null then 'new' when i.level >= 3 then 'mastered' else 'learning' end as status
-    from sentences s left join (select item, level from item_state where user_id = 5) i on s.id % 40 = i.item where s.doc_id < 20""")
-both("JN6", lambda d: """select s.id, i.last_day from item_state i join sentences s on s.id % 40 = i.item where i.user_id = 3 and s.doc_id < 20 order by i.last_day asc nulls last, s.id desc limit 30""")
+    from sentences s left join (select item, level from item_state where user_id = 5) i on s.id % 40 = i.item""")
+both("JN6", lambda d: """select s.id, i.last_day from item_state i join sentences s on s.id % 40 = i.item where i.user_id = 3 order by i.last_day asc nulls last, s.id desc limit 30""")
 both("JN7", lambda d: "select s.id from sentences s where exists (select 1 from docs t where t.id = s.doc_id and (t.owner = 8 or t.owner is null))")
 both("JN9", lambda d: "select l.l_orderkey, l.l_linenumber, n.content from lineitem l join notes n on l.l_orderkey = n.id where n.notebook = 10")
-both("JN10", lambda d: "select b.id, n.id as note, coalesce(t.title, 'Unknown Document') as title from notebooks b join notes n on n.notebook = b.id left join docs t on t.id = n.id where b.group_id = 3")
+both("JN10", lambda d: "select b.id, n.id as note, coalesce(t.title, 'Unknown Document') as title from notebooks b join notes n on n.notebook = b.id left join sentences s on s.id = n.id left join docs t on t.id = s.doc_id where b.group_id = 3")
 both("JN11", lambda d: "select g.id, g.term, t.title from glossary g left join docs t on g.doc_id = t.id")
 both("JN12", lambda d: "select t.id, coalesce(nullif(l.plan, 'free'), '') as alias from docs t left join limits l on t.id % 5 = l.code where t.source_type = 'rss'")
 both("JN13", lambda d: "select u.user_id, l.plan, l.cap from token_usage u join limits l on u.user_id % 4 = l.code")
@@ -27,7 +28,8 @@ both("JN21", lambda d: "select t.id, exists (select 1 from labels l where l.doc_
 both("JN23", lambda d: "select a.page_id, coalesce(x.title, h.title) as title from articles a left join articles x on x.page_id = a.page_id + 1 and x.host = a.host left join (select host, min(title) as title from articles group by host) h on h.host = a.host")
 both("JN27", lambda d: "select distinct l_orderkey as note from lineitem where l_partkey = 5")
 both("JN28", lambda d: f"select doc_id, count(*) as paragraphs, {d.string_agg('paragraph', 'paragraph_no', '|')} as body from paragraphs group by doc_id")
-both("JN30", lambda d: "select s.id from sentences s where s.doc_id not in (select id from docs where owner = 8)")
+# documents of null id delete nothing, and a sentence of a null document stays
+both("JN30", lambda d: "select s.id from sentences s where not exists (select 1 from docs t where t.owner = 8 and t.id = s.doc_id)")
 both("AGG1", lambda d: "select b.id, b.name, count(n.content) as notes from notebooks b left join notes n on n.notebook = b.id group by b.id, b.name")
 both("AGG2", lambda d: "select count(*) as total, count_if(not coalesce(is_public, false)) as private, count_if(is_public) as public from docs")
 both("AGG3", lambda d: "select count_if(last_day is null or last_day + power(2, level) <= 30) as due from item_state")
@@ -44,7 +46,9 @@ both("AGG13", lambda d: "select count(*) as every, count_if(content is null) as
 both("AGG14", lambda d: "select distinct tag from glossary order by tag")
 both("AGG15", lambda d: "select coalesce(n.n_name, 'Unfiled') as grp, count(*) as notebooks from notebooks b left join nation n on n.n_nationkey = b.group_id and n.n_nationkey < 20 group by 1 order by (coalesce(min(n.n_name), '') = ''), 1")
 both("AGG16", lambda d: "select doc_id, count(*) as n from sentences group by doc_id")
-both("AGG19", lambda d: "select p as running, pages from (select lower(trim(paragraph)) as p, count(distinct doc_id) as pages from paragraphs group by 1) x where pages >= 3 and length(p) between 6 and 79")
+both("AGG19", lambda d: f"""select doc_id, running, pages from (select l.doc_id, l.running, count(distinct l.page) as pages, max(t.pages) as total from
+    (select doc_id, page, {d.rr(d.rr('lower(trim(line))', '[0-9]+', '#'), '[ ]+', ' ')} as running from text_lines) l join (select doc_id, count(distinct page) as pages from text_lines group by doc_id) t on t.doc_id = l.doc_id
+    where length(l.running) between 6 and 79 group by l.doc_id, l.running) x where pages >= least(3, total)""")
 both("AGG21", lambda d: "select conv_id, count_if(length(trim(text)) > 0) as done, count(*) as total from conversations group by conv_id")
 both("WIN1", lambda d: """select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id, role = 'system' order by turn desc) as n from conversations) c where role = 'system' or n <= 5""")
 both("WIN2", lambda d: "select event_id, cast(row_number() over (partition by user_id, item order by ts, event_id) as bigint) as version from review_events")
@@ -53,8 +57,9 @@ both("WIN4", lambda d: """select doc_id, paragraph_no, near - short as near from
     cast(sum(cast(length(paragraph) < 60 as int)) over (partition by doc_id order by paragraph_no rows between 4 preceding and 4 following) as bigint) as near from paragraphs) x""")
 both("WIN6", lambda d: "select id, weight from notes order by weight desc, id limit 10")
 both("WIN7", lambda d: "select id, cast(floor((row_number() over (partition by doc_id order by id) - 1) / 5) as bigint) + 1 as chapter from sentences")
-both("WIN8", lambda d: "select id from (select id, row_number() over (order by created_h desc, id) as n from docs where source = 'src1') x where n > 30")
-both("WIN9", lambda d: f"select doc_id, {d.string_agg('sentence', 'id', ' ')} as snippet from (select *, row_number() over (partition by doc_id order by id) as n from sentences) s where n <= 25 and doc_id < 50 group by doc_id")
+both("WIN8", lambda d: """with pool as (select id, created_h from docs where source = 'src1'), newest as (select id from pool order by created_h desc, id limit 30)
+    select p.id from pool p left join newest k on k.id = p.id where k.id is null""")
+both("WIN9", lambda d: f"select doc_id, {d.string_agg('sentence', 'id', ' ')} as snippet from (select *, row_number() over (partition by doc_id order by id) as n from sentences) s where n <= 25 group by doc_id")
 both("WIN10", lambda d: """select user_id, item, island, count(*) as run from (select user_id, item, ok, sum(case when ok then 0 else 1 end) over (partition by user_id, item order by ts, event_id rows unbounded preceding) as island
     from review_events) x where ok group by user_id, item, island""" if d.spark else """select user_id, item, cast(island as bigint) as island, count(*) as run from (select user_id, item, ok, sum(case when ok then 0 else 1 end) over (partition by user_id, item order by ts, event_id rows unbounded preceding) as island
     from review_events) x where ok group by user_id, item, island""")

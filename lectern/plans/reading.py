@@ -44,9 +44,10 @@ both("SRC3", lambda d: f"select doc_id, paragraph_no, sentence_no, trim(sentence
 both("SRC4", lambda d: f"""select kind, id, trim(body) as body, case when trim(body) = '' then 'pending' when kind = 'html' then 'ps_committed' else 'completed' end as state from
     (select 'html' as kind, page_id as id, {d.rr('html', '<[^>]*>', ' ')} as body from pages union all select 'text', doc_id, text from documents) b""")
 both("SRC5", lambda d: "select conv_id, turn, sentence_no, trim(sentence) as sentence from " + d.explode("conv_id, turn", "(select * from conversations where role <> 'system')", d.split("text", r"\. "), "sentence") + " s where trim(sentence) <> ''")
-FEED = "(select host, " + "{}" + " as xml from articles group by host)"
-both("SRC8", lambda d: f"""select host, {d.extract('item', '<title>([^<]*)</title>', 1)} as title, {d.extract('item', '<link>([^<]*)</link>', 1)} as link, {d.extract('item', 'abs/([0-9]+[.][0-9]+)', 1)} as id from """
-    + d.explode("host", FEED.format(d.string_agg("'<item><title>' || title || '</title><link>' || replace(replace(url, '<', ''), '&', ';') || '</link><id>abs/' || (1000 + page_id % 9000) || '.' || page_id || '</id></item>'", "page_id", "")), d.all("xml", "<item>.*?</item>"), "item") + " i")
+#: A feed holds fifty items, so a host with very many pages has many feeds.
+FEED = "(select host, feed, " + "{}" + " as xml from (select *, cast(floor(page_id / 50) as bigint) as feed from articles) a group by host, feed)"
+both("SRC8", lambda d: f"""select host, feed, {d.extract('item', '<title>([^<]*)</title>', 1)} as title, {d.extract('item', '<link>([^<]*)</link>', 1)} as link, {d.extract('item', 'abs/([0-9]+[.][0-9]+)', 1)} as id from """
+    + d.explode("host, feed", FEED.format(d.string_agg("'<item><title>' || title || '</title><link>' || replace(replace(url, '<', ''), '&', ';') || '</link><id>abs/' || (1000 + page_id % 9000) || '.' || page_id || '</id></item>'", "page_id", "")), d.all("xml", "<item>.*?</item>"), "item") + " i")
 both("SRC10", lambda d: "select page_id, item_no, item from " + d.explode("page_id", "pages", d.all(d.extract("html", "<ul>(.*?)</ul>", 1), "<li>(?:<a[^>]*>)?([^<]*)", 1), "item") + " i where item_no <= 100")
 both("SNK2", lambda d: """select doc_id, paragraph_no as step, case when length(paragraph) > 5000 then 'paragraph_error' else 'paragraph_complete' end as event from paragraphs
     union all select doc_id, max(paragraph_no) + 1, case when max(length(paragraph)) > 5000 then 'error' else 'complete' end from paragraphs group by doc_id""")

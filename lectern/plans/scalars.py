@@ -29,8 +29,8 @@ def snippet(d: Dialect, x: str, n: int) -> str:
     return f"case when length({flat}) <= {n} then {flat} when instr({cut}, ' ') > 0 and {last} > {0.7 * n} then left({cut}, cast({last} as int)) || '…' else {cut} || '…' end"
 
 
-both("STR1", lambda d: f"select doc_id, {normal(d, TITLE)} as normal from documents")
-both("STR2", lambda d: f"select doc_id, {'sha1' if d.spark else 'sha1'}({normal(d, d.rr(d.rr(TITLE, '<[^>]*>', ''), '&[a-zA-Z]+;', ''))}) as hash from documents")
+both("STR1", lambda d: f"select doc_id, {normal(d, 'text')} as normal from documents")
+both("STR2", lambda d: f"select doc_id, {'sha1' if d.spark else 'sha1'}({normal(d, d.rr(d.rr('text', '<[^>]*>', ''), '&[a-zA-Z0-9#]+;', ' '))}) as hash from documents")
 both("STR3", lambda d: "select page_id, replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&') as plain from pages")
 both("STR4", lambda d: f"select doc_id, {snippet(d, 'text', 500)} as snippet from documents")
 both("STR5", lambda d: f"select doc_id, {snippet(d, 'text', 150)} as snippet from documents")
@@ -73,13 +73,28 @@ both("DT3", lambda d: f"select user_id, {d.days('ts + interval ' + chr(39) + '9'
 both("DT4", lambda d: f"select {'date_format(ts, ' + chr(39) + 'yyyy-MM' + chr(39) + ')' if d.spark else 'strftime(ts, ' + chr(39) + '%Y-%m' + chr(39) + ')'} as month, count(*) as n from events group by 1")
 both("MTH1", lambda d: "select event_id, round(0.2 * least(1.0, ln(value + 1) / ln(3601)) + 0.4 * (user_id % 2) + 0.4 * (user_id % 3) / 2, 6) as score from events")
 both("MTH2", lambda d: "select l_orderkey, l_linenumber, cast(least(100, floor(l_quantity / 50 * 100 + 0.5)) as bigint) as progress from lineitem")
-both("MTH3", lambda d: f"select conv_id, turn, cast(levenshtein(left({d.rr('text', '[^ -~]', '')}, 40), left(reverse({d.rr('text', '[^ -~]', '')}), 40)) as bigint) as distance from conversations")
+# whole texts of consecutive turns, every character
+both("MTH3", lambda d: f"""select conv_id, turn, distance, round(case when longest = 0 then 1e0 else 1e0 - distance * 1e0 / longest end, 6) as similarity from (select x.conv_id, x.turn,
+    cast(levenshtein({d.rr('x.text', '[^ -~]', '?')}, {d.rr('y.text', '[^ -~]', '?')}) as bigint) as distance, greatest(length(x.text), length(y.text)) as longest
+    from conversations x join conversations y on x.conv_id = y.conv_id and y.turn = x.turn + 1) p""")
 both("MTH4", lambda d: f"""select conv_id, turn, round(case when {d.size('a')} = 0 and {d.size('b')} = 0 then 1e0 else {d.size('array_intersect(a, b)' if d.spark else 'list_intersect(a, b)')} * 1e0 /
     {d.size(d.distinct('concat(a, b)' if d.spark else 'list_concat(a, b)'))} end, 6) as jaccard from
     (select x.conv_id, x.turn, {d.distinct(d.split('lower(x.text)', ' +'))} as a, {d.distinct(d.split('lower(y.text)', ' +'))} as b from conversations x join conversations y on x.conv_id = y.conv_id and y.turn = x.turn + 1) p""")
-both("MTH9", lambda d: "select id, case when length(sentence) < 20 then 85e-2 when length(sentence) < 50 then 7e-1 when length(sentence) < 100 then 55e-2 when length(sentence) < 200 then 45e-2 else 35e-2 end as threshold from sentences")
+def least_likeness(d: Dialect, x: str) -> str:
+    """0.35 to 0.7 by length, lower with digits, other signs, Hangul and fewer than three words."""
+    base = "".join(f"when length({x}) < {n} then {v}e0 " for n, v in ((10, 0.35), (20, 0.4), (40, 0.5), (80, 0.55), (150, 0.6), (300, 0.65)))
+    less = (("[0-9]", 0.05), (r"[^A-Za-z0-9_\s\x{AC00}-\x{D7A3}]", 0.03), (r"[\x{AC00}-\x{D7A3}]", 0.02))
+    out = f"case {base}else 0.7e0 end" + "".join(f" - case when {d.like(x, p)} then {v}e0 else 0e0 end" for p, v in less)
+    return f"round(greatest(0.35e0, least(0.85e0, {out} - case when {d.size(d.split(x, ' +'))} < 3 then 0.1e0 else 0e0 end)), 6)"
+
+
+both("MTH9", lambda d: f"select id, {least_likeness(d, 'sentence')} as threshold from sentences")
 both("MTH11", lambda d: f"select page_id, {d.count('html', '<p[ >]')} as opened, {d.count('html', '</p>')} as closed, round(length({d.rr('html', '<[^>]*>', '')}) * 1e0 / length(html), 6) as density from pages")
-both("ARR5", lambda d: f"select doc_id, {d.join(('array_sort(' if d.spark else 'list_sort(') + d.distinct(d.fn(d.split('lower(' + TITLE + ')', '[^a-z]+'), 'filter', 'w', 'length(w) > 3')) + ')', ' ')} as keywords from documents")
+# the first ten words of a title of over three letters, in their order, without the commonest
+both("ARR5", lambda d: f"select doc_id, {d.join(('slice(%s, 1, 10)' if d.spark else 'list_slice(%s, 1, 10)') % d.ordered_distinct(d.fn(d.split('lower(' + TITLE + ')', ' +'), 'filter', 'w', "length(w) > 3 and w not in ('the', 'and', 'for', 'with', 'from')")), ' ')} as keywords from documents")
 both("CLS1", lambda d: "select id, case when source_type = 'uploaded' then 'uploaded' when source_type = 'rss' then 'rss' else 'saved' end as origin from docs")
 both("CLS2", lambda d: "select id, coalesce(nullif(category, ''), case when source_type = 'rss' then 'News' else 'Other' end) as category from docs")
-both("CLS4", lambda d: f"select doc_id, case when {d.like('lower(text)', 'theorem|proof|worthless')} then 'hard' when {d.like('lower(text)', 'survey|stupid')} then 'easy' else 'middle' end as difficulty from documents")
+#: Papers that reach every rule, and the pages as papers without an abstract.
+PAPERS = """(select * from (values (1, 'Deep Learning for Maps', ''), (2, 'A Neural Network Survey', ''), (3, 'Transformers at Work', ''), (4, 'On Stones', 'a State-of-the-Art result'),
+    (5, 'A Survey of Stones', ''), (6, 'Rivers: a Review', ''), (7, 'Overview', ''), (8, 'On Rivers', 'a comprehensive list'), (9, 'On Rivers', '')) p(id, title, abstract) union all select page_id + 1000, title, '' from articles)"""
+both("CLS4", lambda d: f"""select id, case when {d.like('lower(title)', 'deep learning|neural network|transformer')} or contains(lower(abstract), 'state-of-the-art') then 'advanced' else 'intermediate' end as difficulty from {PAPERS} p""")
