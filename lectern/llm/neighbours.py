@@ -5,10 +5,11 @@ distance of two vectors, divided by their true one, is chi-square with ``DIMS``
 takes points in the order of their projected distance, verifies each by its true distance, and stops
 when a point as near as the k-th found would have been met by now with probability ``SURE``.
 
-The first splits of one kd-tree over a bounded sample's projections cut space into cells; each cell's
-rows, in blocks of bounded size, get kd-trees of their own in the tasks that hold them.  A query first
-searches its own cell; the k-th distance it finds then rules out cells by the same test on the
-distance to their box, and it goes to the others.  Equal vectors are folded into one row first, which
+The first splits of one kd-tree over a bounded sample's projections cut space into cells, more of them for
+more vectors; each cell's rows, in blocks of bounded size, get kd-trees of their own in the tasks that hold
+them.  A query first searches its own cell; the k-th distance it finds then rules out cells by the same test
+on the distance to their box, and it goes to the others.  A block goes to as many tasks as the queries that come to its
+cell need, ``QUERIES`` of them each; cells that no query comes to go nowhere.  Equal vectors are folded into one row first, which
 keeps the ``k + 1`` least ids of them: more are never among the nearest.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import batched, written
 
-DIMS, SURE, SAMPLE, CELLS, BLOCK, LEAF, QUERIES = 8, 0.97, 4096, 64, 4096, 64, 2048
+DIMS, SURE, SAMPLE, CELLS, BLOCK, LEAF, QUERIES = 8, 0.97, 16384, (64, 4096), 4096, 64, 2048
 
 
 def chi_square(x: float) -> float:
@@ -128,8 +129,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     asked = rows.where("asks").select("x", F.col("id").alias("query_id")).distinct()
     sample = distinct.select("v", "x").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("x").collect()
     directions = np.random.default_rng(seed).standard_normal((dim, DIMS))
-    cells = Tree(np.array([r[0] for r in sample], float).reshape(-1, dim) @ directions, max(LEAF, SAMPLE // CELLS))
-    shared = spark.sparkContext.broadcast((cells, directions))  # CELLS splits and DIMS directions
+    many = min(CELLS[1], max(CELLS[0], distinct.count() // BLOCK))
+    cells = Tree(np.array([r[0] for r in sample], float).reshape(-1, dim) @ directions, max(4, min(len(sample), SAMPLE) // many))
+    shared = spark.sparkContext.broadcast((cells, directions))  # 2 * CELLS[1] splits at most, and DIMS directions
 
     def place(batches):
         cells, directions = shared.value
@@ -138,22 +140,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.find(p))], [*batch.schema.names, "cell"])
 
     placed = written(distinct.mapInArrow(place, "v long, x array<double>, ids array<long>, cell long"), "placed")
-    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # CELLS rows or so
-    by_cell = {r["cell"]: r["blocks"] for r in blocks.collect()}
-    in_blocks = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
+    blocks = written(placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")  # a row a cell
+    by_cell = {r["cell"] for r in blocks.collect()}
+    in_blocks = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks"))).drop("blocks")
     queries = asked.join(placed.select("x", "v", "cell"), "x").select("v", "x", "cell").distinct()
-    n_parts = max(1, -(-queries.count() // QUERIES))
     homes = queries.select(
         F.col("v").alias("q"), "x", F.lit(float("inf")).alias("bound"), F.array(F.struct(F.col("cell").alias("cell"), F.lit(0.0).alias("far"))).alias("cells"), "cell"
     )
-    counts = F.create_map(*(F.lit(x) for pair in by_cell.items() for x in pair)) if by_cell else F.create_map(F.lit(0), F.lit(1))
 
     def search(asking: DataFrame) -> DataFrame:
         """(q, v, ids, d): of each query's cells and blocks what is nearest in each."""
-        asking = asking.select("q", "x", "bound", F.explode("cells").alias("c")).select("q", "x", "bound", "c.cell")
-        asking = asking.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), counts[F.col("cell")] - 1)))
-        asking = asking.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(n_parts)))
-        held = in_blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))))
+        asking = written(asking.select("q", "x", "bound", F.explode("cells").alias("c")).select("q", "x", "bound", "c.cell"), "asking")
+        parts = F.broadcast(asking.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).alias("parts")))  # a row a cell
+        asking = asking.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts"))).join(F.broadcast(blocks), "cell")
+        asking = asking.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        held = in_blocks.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
 
         def visit(left: pa.Table, right: pa.Table) -> pa.Table:
             _, directions = shared.value

@@ -50,7 +50,7 @@ def _drawn(key: np.ndarray, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
 class PieceCodec:
     """A SentencePiece BPE model with byte pieces; ``rate`` in [0, 1): the share of candidate merges skipped."""
 
-    def __init__(self, path: str, rate: float = 0.0, most: int = 300_000):
+    def __init__(self, path: str, rate: float = 0.0, most: int = 200_000):
         import sentencepiece
 
         if not 0 <= rate < 1:
@@ -149,7 +149,7 @@ class PieceCodec:
                 self.chars[ord(p)] = i
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = np.where((left >= 0) & (right >= 0), left << 32 | right, -1)
+        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) << 32 | right, -1)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.key_ranks[at], _NONE)
 
@@ -179,48 +179,48 @@ class PieceCodec:
         return out
 
     def _advance(self, runs: list[str], where: list[int], size: int, keys: np.ndarray | None, out: list[bytes], seen: list[bytes]) -> None:
-        limit, columns = self.limit, np.arange(size)
+        """A step takes the best candidate of every run; neighbours are linked, so a merge touches its own places only."""
+        limit, columns, none = self.limit, np.arange(size), np.int32(2**31 - 1)
         sizes = np.array([len(runs[i]) for i in where])
-        sym = np.full((len(where), size), -1)
+        sym = np.full((len(where), size), -1, np.int32)
         sym[columns < sizes[:, None]] = self.chars[np.frombuffer("".join(runs[i] for i in where).encode("utf-32-le", "surrogatepass"), np.uint32)]
         key = keys[where].astype(np.uint64) if keys is not None else None
-        place = np.tile(columns, (len(where), 1))
-        rank = np.full((len(where), size), _NONE)
-        rank[:, :-1] = self._ranks(sym[:, :-1], sym[:, 1:])
+        after = np.where(columns + 1 < sizes[:, None], columns + 1, size).astype(np.int16)
+        before = np.tile((columns - 1).astype(np.int16), (len(where), 1))
+        rank = np.full((len(where), size), none, np.int32)
+        rank[:, :-1] = np.minimum(self._ranks(sym[:, :-1], sym[:, 1:]), none)
         done = np.empty_like(sym)
         row, taken = np.arange(len(where)), []
-        while len(row):
+        while True:
             j = np.argmin(rank, axis=1)
-            n = np.arange(len(row))
-            r = rank[n, j]
-            ended = r == _NONE
-            if ended.any():
-                done[row[ended]] = sym[ended]
-                go = ~ended
-                row, sym, place, rank, j, r = row[go], sym[go], place[go], rank[go], j[go], r[go]
-                n = np.arange(len(row))
-                if not len(row):
+            best = rank[np.arange(len(row)), j]
+            go = best < none
+            n = np.flatnonzero(go)
+            if len(n) < 0.7 * len(row):
+                done[row[~go]] = sym[~go]
+                if not len(n):
                     break
-            at = place[n, j].astype(np.uint64)
+                row, sym, after, before, rank, j, best = (x[n] for x in (row, sym, after, before, rank, j, best))
+                n = np.arange(len(row))
+            i, r = j[n], best[n]
             if key is None:
-                taken.append((row, at << np.uint64(32) | r.astype(np.uint64)))
-                m, jm = n, j
+                taken.append((row[n], i.astype(np.uint64) << np.uint64(32) | r.astype(np.uint64)))
             else:
-                merge = _drawn(key[row], at, r.astype(np.uint64)) >= limit
-                rank[n[~merge], j[~merge]] = _NONE
-                m, jm = n[merge], j[merge]
-            sym[m, jm] = self.rank_ids[r[m]]
-            later = columns[None, :-1] > jm[:, None]
-            for a, fill in ((sym, -1), (place, 0), (rank, _NONE)):
-                part = a[m]
-                part[:, :-1] = np.where(later, part[:, 1:], part[:, :-1])
-                part[:, -1] = fill
-                a[m] = part
-            after = np.minimum(jm + 1, size - 1)
-            rank[m, jm] = np.where(jm + 1 < size, self._ranks(sym[m, jm], sym[m, after]), _NONE)
-            some = jm > 0
-            m, jm = m[some], jm[some]
-            rank[m, jm - 1] = self._ranks(sym[m, jm - 1], sym[m, jm])
+                merge = _drawn(key[row[n]], i.astype(np.uint64), r.astype(np.uint64)) >= limit
+                rank[n[~merge], i[~merge]] = none
+                n, i, r = n[merge], i[merge], r[merge]
+            made = self.rank_ids[r]
+            k = after[n, i]
+            beyond = after[n, k]
+            sym[n, i], sym[n, k], rank[n, k], after[n, i] = made, -1, none, beyond
+            has = beyond < size
+            before[n[has], beyond[has]] = i[has]
+            right = np.where(has, sym[n, np.minimum(beyond, size - 1)], -1)
+            rank[n, i] = np.minimum(self._ranks(made, right), none)
+            h = before[n, i]
+            has = h >= 0
+            n, h, made = n[has], h[has], made[has]
+            rank[n, h] = np.minimum(self._ranks(sym[n, h], made), none)
         full = (done != -1).sum(1)
         flat, ends = done[done != -1].astype(np.int32), np.cumsum(full)
         data = flat.tobytes()
@@ -256,21 +256,19 @@ class PieceCodec:
         as ever, and the others are segmented together.
         """
         out: list[bytes] = [b""] * len(texts)
-        where, split = [], []
+        where, split, many = [], [], 0
         for i, text in enumerate(texts):
             if "\0" in text or SPACE in text:
                 out[i] = self.encode_bytes(text, keys[i])
             elif text:
                 where.append(i)
                 split.append(self.runs.findall(" " + text))
-        lo = 0
-        while lo < len(where):  # some hundred thousand runs at a time
-            hi, many = lo, 0
-            while hi < len(where) and (hi == lo or many + len(split[hi]) <= 400_000):
-                many += len(split[hi])
-                hi += 1
-            self._encode(where[lo:hi], split[lo:hi], keys, out)
-            lo = hi
+                many += len(split[-1])
+            if many > 100_000:  # so many runs at a time
+                self._encode(where, split, keys, out)
+                where, split, many = [], [], 0
+        if where:
+            self._encode(where, split, keys, out)
         return out
 
     def _encode(self, where: list[int], split: list[list[str]], keys: list[int], out: list[bytes]) -> None:

@@ -9,8 +9,8 @@ from .records import session_tokenizer
 RATE, SEED = 0.1, 7
 
 
-def coded(docs: DataFrame) -> DataFrame:
-    """Encoded with dropout and decoded again: doc_id, n_pieces, ids_sha256, text_sha256 of what was decoded."""
+def coded(docs: DataFrame, with_ids: bool = False) -> DataFrame:
+    """Encoded with dropout and decoded again: doc_id, n_pieces, ids_sha256, text_sha256 of what was decoded, and the ids if asked for."""
     model = session_tokenizer(docs.sparkSession, "piece_bpe_32k.model")
     back = pieces.decode(pieces.encode(docs, model, RATE, SEED), model)
     return back.select(
@@ -18,6 +18,7 @@ def coded(docs: DataFrame) -> DataFrame:
         F.size("ids").cast("long").alias("n_pieces"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("text_sha256"),
+        *(["ids"] if with_ids else []),
     )
 
 

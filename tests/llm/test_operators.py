@@ -3,7 +3,6 @@
 import hashlib
 import random
 import re
-import zlib
 
 import numpy as np
 import pytest
@@ -226,13 +225,13 @@ def test_pitman_yor(spark, docs, empty):
         counts[w] = counts.get(w, 0) + 1
     assert (model.tokens, model.types) == (sum(counts.values()), len(counts))
     probs = model.words.collect()
-    for ctx in (0, 5):  # each context's probabilities of all words and the unknown one make 1
+    for ctx in (0, 5, 200):  # each context's probabilities of all words and the unknown one make 1
         total = sum(np.dot(model.mix[ctx], r.p0) + dict(zip(r.ctxs, r.own, strict=True)).get(ctx, 0) for r in probs)
         assert abs(total + np.dot(model.mix[ctx], model.unknown) - 1) < 1e-6
     for rare in (model.rare, 1 << 40):  # all by the head table, all by the join
         model.rare = rare
         if rare > 1 << 30:
-            model.head = {"h": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "p0": np.zeros((0, pitman_yor.SAMPLES)), "own": np.zeros((0, 64), np.float32)}
+            model.head = {"h": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "p0": np.zeros((0, pitman_yor.SAMPLES)), "own": np.zeros(0), "keys": np.zeros(0, np.int64)}
         out = {r.doc_id: r for r in pitman_yor.score(docs, model, [F.col("doc_id")]).collect()}
         for i, w in tokens.items():
             base = sum(np.log10((counts[x] + 1) / (model.tokens + model.types + 1)) for x in w)
@@ -245,6 +244,25 @@ def test_pitman_yor(spark, docs, empty):
     assert none.tokens == 0 and pitman_yor.score(docs, none, [F.col("doc_id")]).count() == len(ROWS)
 
 
+def test_gibbs_moves_reach_the_posterior():
+    """Tables of n customers of one dish, many chains: P(t) by the generalised Stirling numbers."""
+    n, new, d, chains = 5, 0.7, 0.4, 20_000
+    stirling = {1: {1: 1.0}}
+    for i in range(1, n):
+        stirling[i + 1] = {t: stirling[i].get(t - 1, 0) + (i - d * t) * stirling[i].get(t, 0) for t in range(1, i + 2)}
+    want = np.array([stirling[n][t] * new ** (t - 1) for t in range(1, n + 1)])
+    sizes, at = np.full(chains, n, np.int64), np.arange(chains + 1)
+    steps, weight = np.full(chains, n), np.full(chains, new)
+    for sweep in range(12):
+        key = pitman_yor.mixed(np.arange(chains, dtype=np.uint64) + np.uint64(sweep << 32))
+        sizes, at = pitman_yor.moved(sizes, at, steps, steps, weight, d, key)
+    assert (np.add.reduceat(sizes, at[:-1]) == n).all()
+    got = np.bincount(np.diff(at), minlength=n + 1)[1:] / chains
+    assert np.abs(got - want / want.sum()).max() < 0.015
+    sizes, at = pitman_yor.moved(sizes, at, np.full(chains, 3), np.full(chains, 40), weight, d, key)
+    assert (np.add.reduceat(sizes, at[:-1]) == n + 37).all()
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
@@ -255,4 +273,4 @@ def test_pipeline_keeps_columns_and_clean_documents(spark):
     last = pipeline.STAGES[-1][1](spark, docs, sf).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert all(hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest() == r.text_sha256 for r in last)
-    assert zlib.crc32(b"") == 0
+    assert all(r.n_pieces >= 0 for r in last)
