@@ -196,9 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_
     some = [told.where(F.col("label") == k).orderBy(order, id_col).limit(MOST_ROWS) for k in (0, 1)]
     picked = some[0].unionByName(some[1])
     texts = docs.select(id_col, text_col).join(picked, id_col).select("label", F.lower(text_col).alias("text"))
-    # near copies share their long words, so they share the least hash of one: of those a single text counts
+    # near copies share their long words, so they share the least hash of one (given a few): of those a single text counts
     long_words = F.filter(F.split("text", r"[^\p{L}]+"), lambda w: F.length(w) >= 8)
-    texts = texts.withColumn("copy", F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("text")))
+    texts = texts.withColumn("copy", F.when(F.size(long_words) >= 5, F.array_min(F.transform(long_words, lambda w: F.xxhash64(w)))).otherwise(F.xxhash64("text")))
     texts = texts.groupBy("label", "copy").agg(F.min("text").alias("text")).select("label", "text")
     sample = written(texts.repartition(spark.sparkContext.defaultParallelism), "sample")
     classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}

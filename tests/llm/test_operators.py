@@ -161,7 +161,7 @@ def test_toxicity(spark, empty):
         rows.append((i, " ".join(w), int(i % 4 == 0)))
     frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.fit(frame.drop("toxic"), frame.drop("text"), F.col("doc_id") % 5 != 0)
-    assert set(insult) <= set(model.landmarks)
+    assert {toxicity.START + w + toxicity.END for w in insult} <= set(model.landmarks)
     probe = [(1, "you idi.ot"), (2, "such a morron"), (3, "w1 w2 w3"), (4, ""), (5, None)]
     out = toxicity.score(spark.createDataFrame(probe, "doc_id long, text string"), model).collect()
     by = {r.doc_id: r.score for r in out}
