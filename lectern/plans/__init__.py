@@ -1,3 +1,3 @@
 """All queries; importing this registers them."""
 
-from lectern.plans import documents, ingest, joins, learning, lines, listing, reading, scalars, segments, streams  # noqa: F401
+from lectern.plans import documents, ingest, joins, layout, learning, lines, listing, reading, scalars, segments, streams  # noqa: F401

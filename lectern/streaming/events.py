@@ -26,6 +26,8 @@ CAPS = (300, 1500, 6000, 50000)
 
 def _shared(spark: SparkSession) -> str:
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not there and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{there or tempfile.mkdtemp(prefix='lectern-')}/stream-{uuid.uuid4().hex}"
 
 
