@@ -86,7 +86,7 @@ def _neighbours(codes: np.ndarray) -> np.ndarray:
 def kernels(pieces: list[str], landmarks: list[str]) -> np.ndarray:
     """[pieces, landmarks]: likenesses K(s, t) / (K(s, s)**PART K(t, t)**(1 - PART)), at most 1, to the power SHARP.
 
-    A piece that holds less than half of a landmark's pairs of neighbouring letters, gaps aside, is not like it (0).
+    A stretch of words is scaled by the landmark's kernel alone, as other words may stand around an insult.  A piece that holds less than half of a landmark's pairs of neighbouring letters, gaps aside, is not like it (0).
     """
     out = np.zeros((len(pieces), len(landmarks)), np.float32)
     t = _codes(landmarks, -2)
@@ -116,8 +116,10 @@ def kernels(pieces: list[str], landmarks: list[str]) -> np.ndarray:
             if len(row):
                 some, of = np.unique(row, return_inverse=True)
                 norm = _raw(s[some], np.where(s[some] < 0, -2, s[some]))[of]
+                spaced = np.array([" " in pieces[part[i]] for i in some.tolist()])[of]
                 for m in range(0, len(row), 20_000):
-                    r, c, n = row[m : m + 20_000], mark[m : m + 20_000], norm[m : m + 20_000]
+                    r, c = row[m : m + 20_000], mark[m : m + 20_000]
+                    n = np.where(spaced[m : m + 20_000], own[c], norm[m : m + 20_000])
                     out[part[r], c] = np.minimum(_raw(s[r], t[c]) / np.maximum(n**PART * own[c] ** (1 - PART), 1e-9), 1) ** SHARP
     return out
 
