@@ -14,6 +14,19 @@ both("BLK4", lambda d: f"select page_id, {d.size(d.fn(d.split(d.rr('html', '</(p
 both("ANC2", lambda d: "select doc_id, paragraph_no, min(id) as first_id, max(id) as last_id, count(*) as n from sentences group by doc_id, paragraph_no")
 both("OUT1", lambda d: "select doc_id, paragraph_no, left(paragraph, 60) as preview from paragraphs where length(paragraph) < 80")
 both("PDF13", lambda d: "select event_id, cast(floor(value / 20) as bigint) * 20 as slot, user_id % 3 + 1 as page from events")
-both("SRC9", lambda d: f"select doc_id, {d.rr('text', '(?s)^.*?[*]{3} START[^' + chr(92) + 'n]*' + chr(92) + 'n', '')} as body from documents")
+#: Books with every marker, one without an end, one without a line after its start, and one without any; then the documents.
+BOOKS = """(select * from (values (-1, 'head*** START OF THE PROJECT GUTENBERG EBOOK A ***|body one|*** END OF THE PROJECT GUTENBERG EBOOK A ***tail'), (-2, 'x*** START OF THIS PROJECT GUTENBERG EBOOK|two|*** END OF THIS PROJECT GUTENBERG EBOOK z'),
+    (-3, 'START OF THE PROJECT GUTENBERG EBOOK|three'), (-4, '*** START OF THE PROJECT GUTENBERG EBOOK'), (-5, ' no marker ')) b(id, text))"""
+
+
+def body(d) -> str:
+    """What stands between the line of the start mark and the end mark."""
+    start, end = "START OF (THE|THIS) PROJECT GUTENBERG EBOOK", "([*]{3} )?END OF THE PROJECT GUTENBERG EBOOK|[*]{3} END OF THIS PROJECT GUTENBERG EBOOK"
+    rows = f"(select cast(doc_id as bigint) as id, text from documents union all select cast(id as bigint), replace(text, '|', chr(10)) from {BOOKS} b)"
+    cut = d.rr(d.rr("text", r"(?s)^.*?" + start + r"[^\n]*\n", ""), f"(?s)({end}).*$", "")
+    return f"select id, {d.rr(cut, chr(94) + chr(92) + 's+|' + chr(92) + 's+$', '')} as body from {rows} r"
+
+
+both("SRC9", body)
 both("SRC13", lambda d: f"select doc_id, {d.string_agg('sentence', 'id', chr(10))} as body from sentences group by doc_id")
 both("SNK1", lambda d: "select id, title from docs where created_h > 700")

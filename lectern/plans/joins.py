@@ -32,7 +32,8 @@ both("JN28", lambda d: f"select doc_id, count(*) as paragraphs, {d.string_agg('p
 both("JN30", lambda d: "select s.id from sentences s where not exists (select 1 from docs t where t.owner = 8 and t.id = s.doc_id)")
 both("AGG1", lambda d: "select b.id, b.name, count(n.content) as notes from notebooks b left join notes n on n.notebook = b.id group by b.id, b.name")
 both("AGG2", lambda d: "select count(*) as total, count_if(not coalesce(is_public, false)) as private, count_if(is_public) as public from docs")
-both("AGG3", lambda d: "select count_if(last_day is null or last_day + power(2, level) <= 30) as due from item_state")
+both("AGG3", lambda d: """select sum(due) as due, sum(case when kind = 'sentence' then due end) as sentences, sum(case when kind = 'term' then due end) as terms from
+    (select 'sentence' as kind, count_if(last_day is null or last_day + power(2, level) <= 30) as due from item_state union all select 'term', count_if(id % 11 = 0 or id % 60 + power(2, mastery) <= 40) from glossary) x""")
 both("AGG4", lambda d: """select t.id, coalesce(g.n, 0) as terms, coalesce(o.n, 0) as notes from docs t left join (select doc_id, count(*) as n from glossary group by doc_id) g on g.doc_id = t.id
     left join (select id % 300 as doc_id, count(*) as n from notes group by 1) o on o.doc_id = t.id where coalesce(g.n, 0) > 0 or coalesce(o.n, 0) > 0""")
 both("AGG5", lambda d: "select category, is_public, source, count(*) as n from docs group by category, is_public, source")
@@ -51,7 +52,9 @@ both("AGG19", lambda d: f"""select doc_id, running, pages from (select l.doc_id,
     where length(l.running) between 6 and 79 group by l.doc_id, l.running) x where pages >= least(3, total)""")
 both("AGG21", lambda d: "select conv_id, count_if(length(trim(text)) > 0) as done, count(*) as total from conversations group by conv_id")
 both("WIN1", lambda d: """select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id, role = 'system' order by turn desc) as n from conversations) c where role = 'system' or n <= 5""")
-both("WIN2", lambda d: "select event_id, cast(row_number() over (partition by user_id, item order by ts, event_id) as bigint) as version from review_events")
+both("WIN2", lambda d: """select s.user_id, s.item, coalesce(v.version, 0) + 1 as next_version from item_state s
+    left join (select user_id, item, max(version) as version from (select user_id, item, row_number() over (partition by user_id, item order by ts, event_id) as version from review_events where ok) h group by user_id, item) v
+    on v.user_id = s.user_id and v.item = s.item""")
 both("WIN3", lambda d: f"select event_id, gap from (select event_id, {d.days('ts')} - lag({d.days('ts')}) over (partition by user_id order by ts, event_id) as gap from events) g where gap > 0 and gap < 50")
 both("WIN4", lambda d: """select doc_id, paragraph_no, near - short as near from (select doc_id, paragraph_no, cast(length(paragraph) < 60 as int) as short,
     cast(sum(cast(length(paragraph) < 60 as int)) over (partition by doc_id order by paragraph_no rows between 4 preceding and 4 following) as bigint) as near from paragraphs) x""")

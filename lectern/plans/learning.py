@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lectern.plans.base import both
+from lectern.plans.reading import OLD, RENAME
 
 both("LRN1", lambda d: "select user_id, item, level, case when level >= 3 then 'mastered' when level > 0 then 'learning' else 'new' end as status, last_day + cast(power(2, level) as bigint) as next_day from item_state")
 both("LRN2", lambda d: """select user_id, item, least(5, count_if(rating = 'good' and n > last_again) + max(case when n = 1 and rating = 'hard' and last_again = 0 then 1 else 0 end)) as level from
@@ -23,8 +24,10 @@ def recommended(d, owner: int) -> str:
 
 
 both("LRN8", lambda d: f"select * from ({recommended(d, 8)} order by score desc, id limit 6) a union all select * from ({recommended(d, 900)} order by score desc, id limit 6) b")
-both("LRN9", lambda d: "select user_id, round(avg(value), 4) as mean, count_if(value < 70) as weak, count(*) as n from events group by user_id")
-both("LRN10", lambda d: "select user_id, item, level, last_day from item_state order by level, last_day, user_id, item limit 15")
+both("LRN9", lambda d: f"""select user_id, mean, weak, n, this_week, last_week, case when last_week = 0 then case when this_week > 0 then 100e0 else 0e0 end else round((this_week - last_week) * 100e0 / last_week, 4) end as growth from
+    (select user_id, round(avg(value), 4) as mean, count_if(value < 70) as weak, count(*) as n, count_if({d.days('ts')} between 23 and 29) as this_week, count_if({d.days('ts')} between 16 and 22) as last_week from events group by user_id) w""")
+both("LRN10", lambda d: """select user_id, item, level, last_day, case when level = 0 then 'new or failed' when level < 3 then 'learning' else 'known' end as reason from item_state
+    where last_day is null or last_day + power(2, least(level, 5)) <= 30 order by level, last_day, user_id, item limit 15""")
 both("LRN11", lambda d: "select user_id, item, case when level = 0 then 'failed last' when reviews < 2 then 'seldom' else 'low level' end as reason from item_state where level < 2")
 both("LRN13", lambda d: "select id, term from glossary where 40 - id % 60 >= power(2, mastery)")
 # three others of the document: the next ones in an order of hashes, and the first ones behind the last
@@ -53,7 +56,8 @@ both("DML6", lambda d: " union all ".join(
         ("documents", "(select id, id as doc_id from docs)"),
     )))
 both("DML9", lambda d: "select id, 'stored' as policy from docs where is_public and expires_h < 700 union all select id, 'scheduled' from docs where expires_h < 700 and source <> 'src0'")
-both("DML10", lambda d: "select id, case category when 'Essays' then 'Opinion' when 'Academic' then 'Educational' else category end as category from docs")
+# documents under the older names, by the table of renamed categories
+both("DML10", lambda d: f"select d.id, coalesce(r.now, d.category) as category from (select t.id, coalesce(o.category, t.category) as category from docs t left join {OLD} o on o.id = t.id % 17) d left join {RENAME} r on r.old = d.category")
 both("DML12", lambda d: "select feed, case when count_if(not ok) = 0 then 'success' when count_if(ok) = 0 then 'failed' else 'partial' end as status, count_if(not ok) as errors from feed_runs group by feed")
 both("DML13", lambda d: "select event_id, feed from feed_runs order by ts desc, event_id desc limit 50")
 both("DML14", lambda d: """select page_id, host from (select a.page_id, a.host, row_number() over (partition by a.host order by contains(lower(a.title), 'the') desc, a.page_id) as n from articles a

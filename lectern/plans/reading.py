@@ -110,7 +110,16 @@ both("JSN2", lambda d: "select conv_id, turn, block_no, block from " + d.explode
 both("JSN3", lambda d: f"""select conv_id, id, text from (select conv_id, cast({d.extract('item', '"id":"?([0-9]+)', 1)} as bigint) as id, trim({d.extract('item', '"text":"([^"]*)"', 1)}) as text,
     row_number() over (partition by conv_id, {d.extract('item', '"id":"?([0-9]+)', 1)} order by item_no desc) as back from """
     + d.explode("conv_id", "(select conv_id, " + d.string_agg("'{\"id\":' || case when turn % 2 = 0 then '\"' || (turn % 3) || '\"' else cast(turn % 3 as string) end || ',\"text\":\" ' || role || turn || ' \"}'", "turn", ",") + " as x from conversations group by conv_id)", d.all("x", r"\{[^}]*\}"), "item") + " i) l where back = 1 and text <> ''")
-both("CLS3", lambda d: f"""select page_id, case when host like '%wired%' or host like '%voa%' then 'News' else 'Essays' end as by_feed, case page_id % 4 when 0 then 'Academic' when 1 then 'Literature' when 2 then 'News' else 'Essays' end as renamed from articles""")
+# Categories of older documents and what they became.
+RENAMED = (
+    ("뉴스", "News"), ("문학", "Literature"), ("논문", "Academic"), ("에세이/오피니언", "Essays"), ("칼럼·에세이", "Essays"), ("교육", "Academic"), ("기타", "Essays"),
+    ("classic", "Literature"), ("science", "Academic"), ("Non-fiction", "Essays"), ("Opinion", "Essays"), ("Other", "Essays"), ("Educational", "Academic"),
+)
+OLD = "(select * from (values " + ", ".join(f"({i}, '{c}')" for i, c in enumerate([a for a, _ in RENAMED] + ["News", "Unheard of"])) + ") o(id, category))"
+RENAME = "(select * from (values " + ", ".join(f"('{a}', '{b}')" for a, b in RENAMED) + ") r(old, now))"
+both("CLS3", lambda d: f"""select a.page_id as id, case when contains(lower(a.title), 'wired') or contains(lower(a.title), 'voa') then 'News' else 'Essays' end as category from articles a
+    union all select -1 - o.id, coalesce(r.now, o.category) from {OLD} o left join {RENAME} r on r.old = o.category
+    union all select -100 - f.id, case when contains(lower(f.title), 'wired') or contains(lower(f.title), 'voa') then 'News' else 'Essays' end from (select * from (values (1, 'WIRED Top Stories'), (2, 'VOA News'), (3, 'Aeon')) f(id, title)) f""")
 both("LRN4", lambda d: """select doc_id, id, term, mastery, case when mastery < 2 then 1 when mastery < 4 then 2 else 3 end as quiz, case when draw < 30 then 'choice' when draw < 50 then 'blank' when draw < 70 then 'order' else 'typing' end as format
     from (select doc_id, id, term, mastery, (id * 7919 + 13) % 100 as draw, count(*) over (partition by doc_id) as terms from glossary where mastery < 5) g where terms >= 3""")
 both("LRN5", lambda d: """select user_id, status, due, item, place from (select user_id, item, place, due, case when items < 5 then 'insufficient' when due = 0 then 'noDue' else 'ready' end as status from

@@ -44,7 +44,13 @@ both("STR9", lambda d: f"select doc_id, cast(ceil({d.count('text', ASIAN)} / 2.0
 both("STR10", lambda d: f"""select doc_id, case when {d.like('text', '[' + chr(92) + 'x{AC00}-' + chr(92) + 'x{D7A3}]')} then 'ko' when {d.like('text', '[' + chr(92) + 'x{3040}-' + chr(92) + 'x{30FF}]')} then 'ja'
     when {d.like('text', '[' + chr(92) + 'x{4E00}-' + chr(92) + 'x{9FFF}]')} then 'zh' when {d.like('text', '[' + chr(92) + 'x{0600}-' + chr(92) + 'x{06FF}]')} then 'ar'
     when {d.like('text', '[' + chr(92) + 'x{0400}-' + chr(92) + 'x{04FF}]')} then 'ru' else 'en' end as script from documents""")
-both("STR12", lambda d: "select doc_id, case lang when 'en' then 'English' when 'de' then 'German' when 'fr' then 'French' when 'es' then 'Spanish' else lang end as language from documents")
+# Languages as their speakers name them.
+LANGUAGES = {
+    "en": "English", "ko": "한국어", "ja": "日本語", "zh": "中文", "es": "Español", "fr": "Français", "de": "Deutsch", "pt": "Português",
+    "it": "Italiano", "ru": "Русский", "ar": "العربية", "hi": "हिन्दी", "vi": "Tiếng Việt", "th": "ไทย", "id": "Bahasa Indonesia",
+}
+CODES = "(select cast(doc_id as bigint) as id, lang as code from documents union all select * from (values " + ", ".join(f"({-i - 1}, '{c}')" for i, c in enumerate([*LANGUAGES, "xx"])) + ") c(id, code))"
+both("STR12", lambda d: "select id, code, case code " + " ".join(f"when '{c}' then '{n}'" for c, n in LANGUAGES.items()) + f" else upper(code) end as language from {CODES} c")
 both("STR15", lambda d: f"select doc_id, {d.rr(TITLE, '[.]+$', '')} as heading from documents")
 both("STR17", lambda d: f"select a.conv_id, a.turn, {normal(d, 'a.text')} = {normal(d, 'b.text')} as same from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1")
 both("STR19", lambda d: f"select page_id, {d.extract('html', '<title>([^<]*)</title>', 1)} as title, {d.extract('html', '<h1>([^<]*)</h1>', 1)} as heading from pages")
