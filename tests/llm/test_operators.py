@@ -231,7 +231,7 @@ def test_pitman_yor(spark, docs, empty):
     for rare in (model.rare, 1 << 40):  # all by the head table, all by the join
         model.rare = rare
         if rare > 1 << 30:
-            model.head = {"h": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "p0": np.zeros((0, pitman_yor.SAMPLES)), "own": np.zeros(0), "keys": np.zeros(0, np.int64)}
+            model.head = {"h": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "p0": np.zeros((0, pitman_yor.SAMPLES)), "own": np.zeros(0), "keys": np.zeros(0, np.int64), "place": np.zeros(0, np.int64), "table": np.zeros((0, 256))}
         out = {r.doc_id: r for r in pitman_yor.score(docs, model, [F.col("doc_id")]).collect()}
         for i, w in tokens.items():
             base = sum(np.log10((counts[x] + 1) / (model.tokens + model.types + 1)) for x in w)
