@@ -56,7 +56,7 @@ class PieceCodec:
         if not 0 <= rate < 1:
             raise ValueError("rate: from 0 to below 1")
         self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.limit, self.most, self.memo = int(rate * (1 << 32)), most, {}
+        self.limit, self.most, self.memo, self.older = int(rate * (1 << 32)), most, {}, {}
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.bytes = {i: bytes([int(self.pieces[i][3:5], 16)]) for i in range(n) if model.is_byte(i)}
@@ -149,8 +149,8 @@ class PieceCodec:
                 self.chars[ord(p)] = i
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) << 32 | right, -1)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        key = left.astype(np.int64) << 32 | right  # below zero if one of them is, and then not among the keys
+        at = np.searchsorted(self.keys[:-1], key)
         return np.where(self.keys[at] == key, self.key_ranks[at], _NONE)
 
     def segment_many(self, runs: list[str], keys: np.ndarray | None = None, tried: list[bytes] | None = None) -> list[bytes]:
@@ -241,10 +241,13 @@ class PieceCodec:
 
     def _learn(self, runs: list[str]) -> None:
         """Remembers the segmentation of runs without any skip, and the candidates that it takes."""
-        if len(self.memo) >= self.most:
-            self.memo.clear()
-            runs = list(dict.fromkeys(runs))
-        new = [r for r in runs if r not in self.memo]
+        if len(self.memo) >= self.most:  # what hasn't been met since the last time goes
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        for r in runs:
+            if r not in memo and r in older:
+                memo[r] = older[r]
+        new = [r for r in runs if r not in memo]
         tried: list[bytes] = []
         coded = self.segment_many([r.replace(" ", SPACE) for r in new], None, tried)
         self.memo.update(zip(new, zip(coded, tried, strict=True), strict=True))
