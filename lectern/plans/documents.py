@@ -28,5 +28,13 @@ def body(d) -> str:
 
 
 both("SRC9", body)
-both("SRC13", lambda d: f"select doc_id, {d.string_agg('sentence', 'id', chr(10))} as body from sentences group by doc_id")
+def exported(d) -> str:
+    """The sentences of a document as plain text, a Markdown list, CSV lines, and JSON lines with title and number."""
+    quoted = "chr(34) || replace(s.sentence, chr(34), chr(34) || chr(34)) || chr(34)"
+    escaped = f"chr(34) || replace(replace(s.sentence, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)) || chr(34)"
+    kinds = {"txt": "s.sentence", "md": "'- ' || s.sentence", "csv": f"cast(s.sentence_no as string) || ',' || {quoted}", "json": "'{\"n\":' || cast(s.sentence_no as string) || ',\"text\":' || " + escaped + " || '}'"}
+    return " union all ".join(f"select doc_id, '{kind}' as format, {d.string_agg('line', 'id', chr(10))} as body from (select s.doc_id, s.id, {line} as line from sentences s) {kind} group by doc_id" for kind, line in kinds.items())
+
+
+both("SRC13", exported)
 both("SNK1", lambda d: "select id, title from docs where created_h > 700")

@@ -49,8 +49,11 @@ def pieces(d) -> str:
 both("SEG12", pieces)
 both("SRT7", lambda d: f"select doc_id, paragraph_no, {'element_at' if d.spark else 'list_extract'}(w, cast(doc_id % {d.size('w')} as int) + 1) as pick from (select doc_id, paragraph_no, {d.split('paragraph', ' +')} as w from paragraphs) p")
 both("BLK5", lambda d: f"select doc_id, paragraph_no, case when {d.like('paragraph', '^#+ ')} or {d.like('paragraph', '^[*][*].+[*][*]$')} then 'heading' else 'paragraph' end as kind from paragraphs")
-both("FLT27", lambda d: "select id, name, kind from notebooks where group_id = 3")
+both("FLT27", lambda d: """select 'group' as kind, cast(n_nationkey as bigint) as id, n_name as name from nation where n_regionkey = 1 union all select 'notebook', id, name from notebooks where group_id = 3
+    union all select 'session', event_id, event_type from events where user_id = 3 and event_type in ('click', 'view') union all select 'word', id, term from glossary where doc_id = 8 and term like '%a%'
+    union all select 'attempt', event_id, rating from review_events where user_id = 3 and item = 5""")
 both("DML5", lambda d: """select id, notebook, content, cast(null as bigint) as copied_from from notes
     union all select 100000000 + id, notebook + 1, content, id from notes where notebook % 10 = 0""")
 both("DML8", lambda d: "select n.id, n.notebook from notes n left join (select id from notebooks where group_id in (1, 2, 3)) gone on gone.id = n.notebook where gone.id is null")
-both("DML18", lambda d: "select id, name, case when group_id = 7 then null else group_id end as group_id from notebooks")
+# group 7 goes and its notebooks lose it; those of one kind move to group 3
+both("DML18", lambda d: "select id, name, case when kind = 'BUILDING' and id % 10 = 1 then 3 when group_id = 7 then null else group_id end as group_id from notebooks")

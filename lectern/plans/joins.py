@@ -39,13 +39,16 @@ both("AGG4", lambda d: """select t.id, coalesce(g.n, 0) as terms, coalesce(o.n,
 both("AGG5", lambda d: "select category, is_public, source, count(*) as n from docs group by category, is_public, source")
 both("AGG6", lambda d: "select count_if(source_type = 'uploaded') as uploaded, count_if(source_type = 'rss') as rss, count_if(source_type not in ('uploaded', 'rss')) as saved from docs")
 both("AGG7", lambda d: "select count(*) as feeds, count_if(good >= 80) as fine, count_if(errors > 50) as bad, round(avg(good), 4) as mean_score from (select feed, count_if(not ok) as errors, 100e0 * count_if(ok) / count(*) as good from feed_runs group by feed) f")
-both("AGG8", lambda d: f"select feed, least(100, cast(floor(100.0 * count_if(ok) / count(*) + 0.5) as bigint)) as rate, max({d.days('ts')}) < 22 as stale from feed_runs group by feed")
+both("AGG8", lambda d: f"""select r.feed, r.rate, r.stale, u.used, least(100, cast(floor(100.0 * u.used / l.cap + 0.5) as bigint)) as quota from
+    (select feed, least(100, cast(floor(100.0 * count_if(ok) / count(*) + 0.5) as bigint)) as rate, max({d.days('ts')}) < 22 as stale from feed_runs group by feed) r
+    join (select user_id % 40 as feed, sum(tokens) as used from token_usage group by 1) u on u.feed = r.feed join limits l on l.code = r.feed % 4""")
 both("AGG9", lambda d: "select user_id, cast(sum(tokens) as bigint) as tokens, round(sum(tokens) * 2e-6, 6) as cost from token_usage group by rollup(user_id)")
 both("AGG10", lambda d: "select user_id, count(*) as total, count_if(level = 2) as mastered, count_if(level = 1) as learning, count_if(level = 0) as new from item_state group by user_id")
 both("AGG12", lambda d: "select distinct l.l_partkey as id from lineitem l join notes n on n.id = l.l_orderkey where n.content is null")
 both("AGG13", lambda d: "select count(*) as every, count_if(content is null) as highlights, count_if(content is not null) as notes from notes")
 both("AGG14", lambda d: "select distinct tag from glossary order by tag")
-both("AGG15", lambda d: "select coalesce(n.n_name, 'Unfiled') as grp, count(*) as notebooks from notebooks b left join nation n on n.n_nationkey = b.group_id and n.n_nationkey < 20 group by 1 order by (coalesce(min(n.n_name), '') = ''), 1")
+both("AGG15", lambda d: f"""select grp, unfiled, {d.size('ids')} as notebooks, {d.join('ids', ',')} as ids from (select coalesce(n.n_name, 'Unfiled') as grp, n.n_name is null as unfiled,
+    {'transform(array_sort(collect_list(b.id)), x -> cast(x as string))' if d.spark else 'list_transform(list_sort(list(b.id)), lambda x: cast(x as varchar))'} as ids from notebooks b left join nation n on n.n_nationkey = b.group_id and n.n_nationkey < 20 group by 1, 2) g order by unfiled, grp""")
 both("AGG16", lambda d: "select doc_id, count(*) as n from sentences group by doc_id")
 both("AGG19", lambda d: f"""select doc_id, running, pages from (select l.doc_id, l.running, count(distinct l.page) as pages, max(t.pages) as total from
     (select doc_id, page, {d.rr(d.rr('lower(trim(line))', '[0-9]+', '#'), '[ ]+', ' ')} as running from text_lines) l join (select doc_id, count(distinct page) as pages from text_lines group by doc_id) t on t.doc_id = l.doc_id

@@ -6,15 +6,29 @@ from lectern.plans.base import both
 
 NOW_H = 700  # hours after 2024-01-01
 
+def sorted_by(rows: str, orders: dict[str, str], limit: str) -> str:
+    """The page that each order gives of the same rows, as (sort, id)."""
+    return " union all ".join(f"select * from (select '{name}' as sort, id from {rows} {name} order by {order}, id {limit}) p_{name}" for name, order in orders.items())
+
+
 both("SRC1", lambda d: "select id, title, source_language, source from docs")
 both("SRC2", lambda d: "select id, title, category from docs where id = 17")
-both("FLT1", lambda d: """select id, title, coalesce(activity_h, created_h) as at from docs
-    where owner = 8 and not is_archived and title ilike '%th%' order by activity_h desc nulls first, created_h desc, id""")
+def own_documents(d) -> str:
+    """A user's documents of every status in both orders."""
+    status = {"active": "not is_archived", "archived": "is_archived", "all": "true"}
+    orders = {"activity": "activity_h desc nulls first, created_h desc", "created": "created_h desc"}
+    return " union all ".join(
+        f"select '{name}' as status, '{sort}' as sort, id, place from (select id, row_number() over (partition by owner order by {order}, id) as place from docs where owner = 8 and {rule} and title ilike '%e%') {name}_{sort}"
+        for name, rule in status.items() for sort, order in orders.items())
+
+
+both("FLT1", own_documents)
 both("FLT2", lambda d: "select id, title from docs where source_type = 'uploaded' and not is_public order by created_h desc, id")
 both("FLT3", lambda d: "select id, title from docs where source_type = 'explore' and not is_public order by created_h desc, id")
 # a source of null is dropped by <>, as in SQL
-both("FLT4", lambda d: """select id, title, category, created_h from docs where is_public and not is_archived and source <> 'src3'
-    and category in ('Academic', 'News') and (title ilike '%an%' or source ilike '%1%') order by created_h desc, id limit 50 offset 10""")
+# a source that is null is dropped by the comparison
+both("FLT4", lambda d: sorted_by(f"""(select id, title, category, created_h, source, id % 17 as saved, id % 29 as viewed from docs where is_public and not is_archived and source <> 'src3' and category in ('Academic', 'News')
+    and (title ilike '%an%' or source ilike '%1%'))""", {"recent": "created_h desc", "oldest": "created_h", "title": "title", "saved": "saved desc", "viewed": "viewed desc"}, "limit 50 offset 10"))
 both("FLT5", lambda d: f"""select id, title, category, coalesce(nullif({d.rr('left(raw_content, 500)', chr(92) + 's+', ' ')}, ''), '') as snippet,
     {d.size(d.fn(d.split('raw_content', '[ ' + chr(92) + 'n' + chr(92) + 't' + chr(92) + 'r]+'), 'filter', 'w', "w <> ''"))} as word_count
     from docs where is_public and not is_archived order by created_h desc, id limit 24""")
@@ -28,12 +42,17 @@ both("FLT11", lambda d: f"""select feed, last_day from (select feed, max({d.days
     where errors < 60 and (last_day is null or last_day < 30) order by last_day asc nulls last, feed""")
 both("FLT13", lambda d: "select page_id, title, host from articles where page_id % 3 <> 0 order by page_id desc")
 # a literal search: % and _ stand for themselves
-both("FLT14", lambda d: """select id, title, category from docs where not is_archived and category in ('News', 'Essays')
-    and (contains(lower(title), 'the') or contains(lower(raw_content), 'worth')) order by coalesce(activity_h, created_h) desc, id""")
+# the older names of a category count as the category
+both("FLT14", lambda d: sorted_by(f"""(select t.id, t.title, t.created_h, t.activity_h, t.source_type from (select *, case id % 9 when 0 then 'Opinion' when 1 then 'Other' else category end as stored from docs) t
+    where not is_archived and stored in ('News', 'Essays', 'Opinion', 'Other', 'Non-fiction') and source_type in ('uploaded', 'web', 'rss') and (contains(lower(title), 'the') or contains(lower(raw_content), 'worth') or contains(lower(source), 'src1')))""",
+    {"recent": "coalesce(activity_h, created_h) desc", "created": "created_h desc", "title": "title", "oldest": "created_h"}, "limit 100"))
 both("FLT15", lambda d: """select id, title from docs where is_public and (contains(lower(title), 'le') or contains(lower(title), 'st') or contains(lower(source), 'src5'))""")
 both("FLT16", lambda d: "select id, title from docs where not is_archived order by coalesce(activity_h, created_h) desc, id desc limit 1")
-both("FLT18", lambda d: "select id, term, translation, mastery from glossary where (term ilike '%a%' or translation ilike '%steel%') and tag = 'Brand#1' order by mastery, id")
-both("FLT19", lambda d: "select id, doc_id, sentence from sentences where sentence ilike '%tion%' order by id desc limit 50 offset 5")
+# all of the chosen tags, of a term with three
+both("FLT18", lambda d: f"""select id, term, translation, mastery from (select *, {'array' if d.spark else 'list_value'}(tag, split_part(translation, ' ', 1), case when mastery > 3 then 'known' else 'open' end) as tags from glossary) g
+    where (term ilike '%a%' or translation ilike '%steel%') and {'array_contains' if d.spark else 'list_contains'}(tags, 'Brand#1') and {'array_contains' if d.spark else 'list_contains'}(tags, 'open') and doc_id < 150 order by mastery, id""")
+both("FLT19", lambda d: sorted_by("""(select s.id, s.doc_id, s.sentence, coalesce(i.level, -1) as level from sentences s left join (select item, level from item_state where user_id = 5) i on i.item = s.id % 40
+    where s.sentence ilike '%tion%' and coalesce(i.level, -1) < 3)""", {"newest": "id desc", "oldest": "doc_id", "alphabet": "sentence", "level": "level desc"}, "limit 50 offset 5"))
 both("FLT20", lambda d: """select id, pos, case when pos > 31 then '…' else '' end || substr(sentence, cast(greatest(1, pos - 30) as int), cast(least(30, pos - 1) + 53 as int)) ||
     case when pos + 53 <= length(sentence) then '…' else '' end as snippet from
     (select id, sentence, cast(instr(lower(sentence), 'the') as bigint) as pos from sentences) s where pos > 0""")
