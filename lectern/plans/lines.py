@@ -33,10 +33,7 @@ both("JN25", lambda d: """select a.doc_id, a.line_no, b.line_no as other from (s
     join (select doc_id, line_no, page, y, slot, line_no * 11 % 60 as c0, line_no * 11 % 60 + 20 as c1 from text_lines cross join (values (-1), (0), (1)) s(slot)) b
     on b.doc_id = a.doc_id and b.page = a.page and floor(b.y / 20) + b.slot = floor(a.y / 20) and abs(a.y - b.y) <= 20 and a.c0 <= b.c1 and b.c0 <= a.c1""")
 HEADING = lambda d: f"({d.like('line', '^[0-9]+([.][0-9]+)*[.]? [A-Z]')} or {d.like('lower(trim(line))', '^(abstract|introduction|methods?|results|discussion|conclusions?|references)$')} or (font >= 16 and not {d.like('line', '[.!?,;:]$')}))"
-both("PDF2", lambda d: f"select doc_id, line_no, {HEADING(d)} as heading, coalesce(y - lag(y) over (partition by doc_id, page order by y, line_no) > 20, true) as spaced from text_lines")
 both("WIN11", lambda d: f"select doc_id, line_no, max(case when {HEADING(d)} then line_no end) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as section, coalesce(max(case when lower(line) like 'references%' then 1 end) over (partition by doc_id order by line_no rows between unbounded preceding and current row), 0) as in_references from text_lines")
-both("PDF3", lambda d: f"""select doc_id, line_no, case when started = 0 and line_no > 1 and {d.like('line', '^[A-Z][^ ]+( [A-Z][^ ]+)+')} then 'author' else 'body' end as kind from
-    (select doc_id, line_no, line, max(case when length(line) > 120 then 1 else 0 end) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as started from text_lines where page = 1) p""")
 
 
 def continues(d: Dialect, a: str, b: str) -> str:
