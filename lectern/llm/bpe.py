@@ -8,7 +8,7 @@ Tokenizer files are JSON with a vocabulary, ordered merges, word ends and byte-l
 
 Texts meet the same steps as in the tokenizers library: added tokens are found in the raw text, the rest is
 normalised (NFC, white space, lower case sign by sign), cut by the pattern, and spelled in byte signs.
-None of these steps looks across white space, so each distinct run between ASCII white space is encoded once.
+None of these steps looks across white space, so the distinct runs between ASCII white space are cut together, once a batch.
 Signs that Unicode assigned after the version of ``unicodedata`` are cut as signs that are no letters.
 """
 
@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +41,11 @@ LATIN = "\u0250"
 
 
 def word_pattern(below: int = 0x110000) -> re.Pattern:
-    """The file's pattern: its endings, letters, one number, other signs, for texts of signs below ``below``.  Letters and
+    """The file's pattern after the sign that stands between runs: its endings, letters, one number, other signs, for texts of signs below ``below``.  Letters and
     numbers are those of ``unicodedata``."""
     kinds = "".join(unicodedata.category(chr(c))[0] for c in range(below))
     letters, numbers = ("".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in re.finditer(f"{k}+", kinds)) for k in "LN")
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{BLANK.pattern[1:-2]}{letters}{numbers}]+")
+    return re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{BLANK.pattern[1:-2]}{letters}{numbers}]+")
 
 
 def byte_signs() -> list[str]:
@@ -54,6 +55,12 @@ def byte_signs() -> list[str]:
     return [chr(b if b in shown else next(others)) for b in range(256)]
 
 
+def gathered(flat: np.ndarray, first: np.ndarray, n: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` in ``order``, of length ``n`` each and from ``first[order]`` on, and where each starts (one more at the end)."""
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+    return flat[np.arange(ends[-1]) + np.repeat(first[order] - ends[:-1], n)], ends
+
+
 class PairRanks:
     """The rank of every pair of ids that merges, looked up for arrays of pairs in hash tables; each further table takes what met a full place."""
 
@@ -86,9 +93,9 @@ class PairRanks:
 
 
 class RankEncoder:
-    """Encodes whole texts; the memos of runs and of words are emptied when one holds ``most``."""
+    """Encodes whole texts; the memo of words is emptied when it holds ``most``."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         model = told["model"]
@@ -101,7 +108,7 @@ class RankEncoder:
         self.added = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.split = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.latin, self.pattern = word_pattern(ord(LATIN)), word_pattern()
-        self.most, self.memo, self.words = most, {}, {}
+        self.most, self.words = most, {"\n": b""}
 
     def short(self, words: list[bytes], width: int) -> list[bytes]:
         """The ids of each word (four bytes each), all of 1 to ``width`` bytes: a row of parts and one of ranks for each word."""
@@ -165,51 +172,69 @@ class RankEncoder:
                     put(before[i])
         return np.array([x for x, live in zip(ids, lives, strict=True) if live], "<i4").tobytes()
 
-    def cut(self, text: str) -> list[str | int]:
-        """The words of a text, and the ids of the added tokens in it."""
-        out: list[str | int] = []
-        for k, part in enumerate(self.split.split(text) if self.split else [text]):
-            if k % 2:
-                out.append(self.added[part])
-            elif part.isascii():
-                out += self.latin.findall(part.lower())
-            else:
-                plain = BLANK.sub(" ", unicodedata.normalize("NFC", part))
-                low = plain.lower() if "\u03a3" not in plain else "".join(c.lower() for c in plain)
-                out += (self.latin if max(low) < LATIN else self.pattern).findall(low)
-        return out
-
-    def learn(self, runs: list[str]) -> None:
-        """Puts the ids of these runs into the memo."""
-        cut = [self.cut(r) for r in runs]
-        new = {w: w.encode() for ws in cut for w in ws if isinstance(w, str) and w not in self.words}
-        by_width: dict[int, list[str]] = {}
-        for w, b in new.items():
-            by_width.setdefault(next((x for x in WIDTHS if len(b) <= x), 0), []).append(w)
-        for width, words in by_width.items():
-            for i in range(0, len(words), 8192):
-                part = words[i : i + 8192]
-                spelt = [new[w] for w in part]
-                self.words.update(zip(part, self.short(spelt, width) if width else map(self.long, spelt), strict=True))
-        for r, ws in zip(runs, cut, strict=True):
-            self.memo[r] = b"".join([self.words[w] if isinstance(w, str) else struct.pack("<i", w) for w in ws])
+    def plain(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs without added tokens, and how many each has: all runs are cut in one pass, each distinct word is encoded once."""
+        text = "\n".join(runs)
+        if text.isascii():
+            low, pattern = text.lower(), self.latin
+        else:
+            text = unicodedata.normalize("NFC", text)
+            low = text.lower() if "\u03a3" not in text else "".join(c.lower() for c in text)
+            pattern = self.latin if max(low) < LATIN else self.pattern
+        cut = pa.array(pattern.findall(low), pa.large_string()).dictionary_encode()
+        words, order = cut.dictionary.to_pylist(), cut.indices.to_numpy()
+        self.learn([w for w in words if w not in self.words])
+        coded = [self.words[w] for w in words]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        ids, _ = gathered(np.frombuffer(b"".join(coded), "<i4"), np.cumsum(sizes) - sizes, sizes[order], order)
+        ends = np.fromiter((w == "\n" for w in words), bool, len(words))[order]  # the sign between runs
+        return ids, np.bincount(np.cumsum(ends), weights=sizes[order], minlength=len(runs)).astype(np.int64)
+
+    def marked(self, run: str) -> np.ndarray:
+        """The ids of a run with added tokens, which are found in the raw text."""
+        return np.concatenate([np.array([self.added[p]], "<i4") if k % 2 else self.plain([p])[0] for k, p in enumerate(self.split.split(run)) if p])
+
+    def runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all runs, and where those of each run start and how many they are."""
+        first, sizes = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
+        there = self.split is not None and self.split.search("\n".join(runs)) is not None
+        marked = [i for i, r in enumerate(runs) if self.split.search(r)] if there else []
+        rest = [i for i, r in enumerate(runs) if not self.split.search(r)] if there else range(len(runs))
+        groups = [[i for i in rest if runs[i].isascii()], [i for i in rest if not runs[i].isascii()]]
+        flat, at = [np.zeros(0, "<i4")], 0
+        for group in groups:
+            if group:
+                ids, n = self.plain([runs[i] for i in group])
+                sizes[group], first[group] = n, at + np.cumsum(n) - n
+                flat.append(ids)
+                at += len(ids)
+        for i in marked:
+            ids = self.marked(runs[i])
+            sizes[i], first[i] = len(ids), at
+            flat.append(ids)
+            at += len(ids)
+        return np.concatenate(flat), first, sizes
+
+    def learn(self, new: list[str]) -> None:
+        """Puts the ids of these words into the memo."""
+        spelt = [w.encode() for w in new]
+        kind = np.searchsorted(WIDTHS, np.fromiter(map(len, spelt), np.int64, len(spelt)))
+        for k in np.unique(kind).tolist():
+            at = np.flatnonzero(kind == k).tolist()
+            for i in range(0, len(at), 8192):
+                part = at[i : i + 8192]
+                words = [spelt[j] for j in part]
+                ids = self.short(words, WIDTHS[k]) if k < len(WIDTHS) else map(self.long, words)
+                self.words.update(zip([new[j] for j in part], ids, strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's start (one more at the end)."""
+        if len(self.words) > self.most:
+            self.words = {"\n": b""}
         words = Words(texts)
-        uniq = words.uniq.to_pylist()
-        if max(len(self.memo), len(self.words)) > self.most:
-            self.memo.clear()
-            self.words.clear()
-        memo = self.memo
-        self.learn([w for w in uniq if w not in memo])
-        coded = [memo[w] for w in uniq]
-        flat = np.frombuffer(b"".join(coded), "<i4")
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        first = np.cumsum(sizes) - sizes
-        n = sizes[words.ids]
-        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
-        return flat[np.arange(ends[-1]) + np.repeat(first[words.ids] - ends[:-1], n)], ends[words.offsets]
+        flat, first, sizes = self.runs(words.uniq.to_pylist())
+        ids, ends = gathered(flat, first, sizes[words.ids], words.ids)
+        return ids, ends[words.offsets]
 
 
 class Decoder:
@@ -218,11 +243,18 @@ class Decoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        self.tokens = {i: t for t, i in told["model"]["vocab"].items()} | {t["id"]: t["content"] for t in told["added_tokens"]}
+        tokens = {i: t for t, i in told["model"]["vocab"].items()} | {t["id"]: t["content"] for t in told["added_tokens"]}
+        self.tokens = pa.array([tokens.get(i) for i in range(max(tokens) + 1)], pa.large_string())
 
-    def decode(self, ids: list[int]) -> str:
-        """Ids that the vocabulary lacks are left out."""
-        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The text of each list; ids that the vocabulary lacks are left out, a null list gives an empty text."""
+        flat, at = ids.values.to_numpy(), ids.offsets.to_numpy()
+        known = (flat >= 0) & (flat < len(self.tokens))
+        known[known] = self.tokens.take(pa.array(flat[known])).is_valid().to_numpy(zero_copy_only=False)
+        if not known.all():
+            at, flat = np.concatenate((np.zeros(1, np.int64), np.cumsum(known)))[at], flat[known]
+        lists = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), self.tokens.take(pa.array(flat)))
+        return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
 
 @lru_cache(maxsize=1)
@@ -257,7 +289,6 @@ def decode(coded: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(tokenizer)
         for batch in batches:
-            texts = pa.array([decoder.decode(x) if x else "" for x in batch.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), decoder.decode(batch.column(1))], ["id", "ids", "text"])
 
     return coded.select("id", "ids").mapInArrow(run, f"id {coded.schema['id'].dataType.simpleString()}, ids array<int>, text string")
