@@ -5,7 +5,8 @@ behind a number: "in" is mostly a word); other words count in lower case, withou
 windows are hash-joined with the benchmark's, and the values that a document and an item have in
 matched placeholders must correspond one to one over the whole aligned passage.  So an exact copy
 matches, and so does the same question with other names and figures; chance matches of templates
-with muddled values don't.
+with muddled values don't.  A window that is exact counts by itself: part of an item copied word for word is found
+whatever values the rest of the passage has.
 
 Both sides hold each window in three forms: with names; without (a capitalised word is a literal), for
 documents in lower, upper or title case; and exact, with no placeholders.  A window may hold any number of
@@ -122,8 +123,8 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(id, item, matched, windows, same_values): documents that hold windows of benchmark items.
 
-    ``matched`` of the item's ``windows`` occur with consistent values; ``same_values``: all of them
-    with the item's own.  Rows with a null id take no part, null and empty texts have no windows, a
+    ``matched`` of the item's ``windows`` occur in one passage: all there, if its values are consistent, else the exact
+    ones.  ``same_values``: all of these have the item's own values.  Rows with a null id take no part, null and empty texts have no windows, a
     repeated id counts as one document; an empty benchmark or corpus gives no rows.
     """
     spark = docs.sparkSession
@@ -164,18 +165,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     found = rows.mapInArrow(run, "id long, at long, hash long, width int, values array<string>")
     met = found.join(F.broadcast(bench) if small else bench, ["hash", "width"]).where(F.size("values") == F.size("slots"))
+    exact = F.when(F.size("slots") == 0, F.col("place"))  # a window of literals alone is a copy, whatever the rest of its passage holds
     passage = met.groupBy("id", "item", (F.col("at") - F.col("place")).alias("shift")).agg(
         F.array_distinct(F.flatten(F.collect_set(F.expr("arrays_zip(slots, values)")))).alias("pairs"),
         F.count_distinct("place").alias("matched"),
+        F.count_distinct(exact).alias("exact"),
         F.max("windows").alias("windows"),
         F.size(F.array_distinct(F.flatten(F.collect_set("literals")))).alias("literals"),
         F.max(F.least(F.lit(LITERALS), F.floor((F.col("width") + 1) / 2))).alias("needed"),
     )
-    passage = passage.where("literals >= needed")
-    sides = [F.array_distinct(F.col("pairs")[k]) for k in ("slots", "values")]
-    consistent = passage.where((F.size(sides[0]) == F.size("pairs")) & (F.size(sides[1]) == F.size("pairs")))
-    return consistent.groupBy("id", "item").agg(
-        F.max("matched").alias("matched"),
+    sides = [F.size(F.array_distinct(F.col("pairs")[k])) == F.size("pairs") for k in ("slots", "values")]
+    passage = passage.withColumn("consistent", (F.col("literals") >= F.col("needed")) & sides[0] & sides[1])
+    return passage.where("consistent or exact > 0").groupBy("id", "item").agg(
+        F.max(F.when(F.col("consistent"), F.col("matched")).otherwise(F.col("exact"))).alias("matched"),
         F.max("windows").alias("windows"),
-        F.max(F.forall("pairs", lambda p: p["slots"] == p["values"])).alias("same_values"),
+        F.max(~F.col("consistent") | F.forall("pairs", lambda p: p["slots"] == p["values"])).alias("same_values"),
     )

@@ -141,9 +141,9 @@ def test_pieces(spark, docs):
 
 
 def test_templates(spark, empty):
-    item = "Alice buys 12 apples for 3 dollars each and then sells half of them to her neighbour for twice the price she paid"
+    item = "Alice buys 12 apples for 3 dollars each and then sells 5 of them to her neighbour for twice the price she paid"
     other = item.replace("Alice", "Bertha").replace("12", "40").replace("3", "7")
-    muddled = "Bob buys 12 apples for 12 dollars each and then sells half of them to her neighbour for twice the price she paid"
+    muddled = "Bob buys 12 apples for 12 dollars each and then sells 12 of them to her neighbour for twice the price she paid"
     rows = [(1, f"x y {item} z"), (2, other.replace(" ", "\n")), (3, muddled), (4, "nothing of it"), (5, None), (6, ""), (7, item.lower())]
     items = spark.createDataFrame([(9, item), (8, "too short"), (7, None)], "item_id long, text string")
     got = {(r.id, r.item): r.same_values for r in templates.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
