@@ -28,14 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batched
+from .common import PairTable, Words, batched, stretches
 
 #: A word of so many bytes at most is a row of that width; longer ones take the agenda.
 WIDTHS = (4, 8, 12, 16, 24, 32, 64)
 #: What the library takes for white space.
 BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: No pair has this rank, no part this id, no place this key.
-NEVER, NO_ID, NO_KEY = np.int64(1 << 60), np.int64((1 << 32) - 1), np.uint64((1 << 64) - 1)
+#: No pair has this rank, no part this id.
+NEVER, NO_ID = np.int32((1 << 31) - 1), np.int64(-1)
 #: Texts of signs below this one have a pattern of their own, with short classes.
 LATIN = "\u0250"
 
@@ -55,43 +55,6 @@ def byte_signs() -> list[str]:
     return [chr(b if b in shown else next(others)) for b in range(256)]
 
 
-def gathered(flat: np.ndarray, first: np.ndarray, n: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stretches of ``flat`` in ``order``, of length ``n`` each and from ``first[order]`` on, and where each starts (one more at the end)."""
-    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
-    return flat[np.arange(ends[-1]) + np.repeat(first[order] - ends[:-1], n)], ends
-
-
-class PairRanks:
-    """The rank of every pair of ids that merges, looked up for arrays of pairs in hash tables; each further table takes what met a full place."""
-
-    def __init__(self, pairs: np.ndarray, bits: int = 18):
-        self.shift, self.tables = np.uint64(64 - bits), []
-        keys, ranks = self.keys(pairs[:, 0], pairs[:, 1]), np.arange(len(pairs), dtype=np.int64)
-        factor = 0x9E3779B97F4A7C15
-        while len(keys):
-            factor = factor * 0xD1342543DE82EF95 + 1 & (1 << 64) - 1 | 1
-            place = keys * np.uint64(factor) >> self.shift
-            _, first = np.unique(place, return_index=True)
-            there, rank = np.full(1 << bits, NO_KEY), np.full(1 << bits, NEVER)
-            there[place[first]], rank[place[first]] = keys[first], ranks[first]
-            self.tables.append((np.uint64(factor), there, rank))
-            left = np.ones(len(keys), bool)
-            left[first] = False
-            keys, ranks = keys[left], ranks[left]
-
-    @staticmethod
-    def keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
-
-    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = self.keys(a, b)
-        out = np.full(keys.shape, NEVER)
-        for factor, there, rank in self.tables:
-            place = keys * factor >> self.shift
-            np.copyto(out, rank[place], where=there[place] == keys)
-        return out
-
-
 class RankEncoder:
     """Encodes whole texts; the memo of words is emptied when it holds ``most``."""
 
@@ -101,7 +64,7 @@ class RankEncoder:
         model = told["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
         pairs = np.array([(vocab[a], vocab[b]) for a, b in model["merges"]], np.int64)
-        self.ranks, self.merged = PairRanks(pairs), np.array([vocab[a + b] for a, b in model["merges"]], np.int64)
+        self.ranks, self.merged = PairTable(pairs[:, 0], pairs[:, 1], np.arange(len(pairs)), int(NEVER)), np.array([vocab[a + b] for a, b in model["merges"]], np.int64)
         self.single = {(a, b): r for r, (a, b) in enumerate(pairs.tolist())}
         signs = byte_signs()
         self.inner, self.last = (np.array([vocab[c + e] for c in signs], np.int64) for e in ("", end))
@@ -186,7 +149,7 @@ class RankEncoder:
         self.learn([w for w in words if w not in self.words])
         coded = [self.words[w] for w in words]
         sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        ids, _ = gathered(np.frombuffer(b"".join(coded), "<i4"), np.cumsum(sizes) - sizes, sizes[order], order)
+        ids, _ = stretches(np.frombuffer(b"".join(coded), "<i4"), (np.cumsum(sizes) - sizes)[order], sizes[order])
         ends = np.fromiter((w == "\n" for w in words), bool, len(words))[order]  # the sign between runs
         return ids, np.bincount(np.cumsum(ends), weights=sizes[order], minlength=len(runs)).astype(np.int64)
 
@@ -233,7 +196,7 @@ class RankEncoder:
             self.words = {"\n": b""}
         words = Words(texts)
         flat, first, sizes = self.runs(words.uniq.to_pylist())
-        ids, ends = gathered(flat, first, sizes[words.ids], words.ids)
+        ids, ends = stretches(flat, first[words.ids], sizes[words.ids])
         return ids, ends[words.offsets]
 
 

@@ -154,3 +154,57 @@ def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * _powers(_BASE, n), dtype=np.uint64)))
         return mixed((sums[width:] - sums[:-width]) * _powers(_INVERSE, n - width + 1))
+
+
+def stretches(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` from ``first`` on, of length ``n`` each, one after the other, and where each starts (one more at the end)."""
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+    return flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], n)], ends
+
+
+class PairTable:
+    """The number of each of some pairs of ids (from 0), looked up for arrays of pairs in hash tables.
+
+    What meets a full place goes to the next table; a pair that is in none has ``none``, and so has one with a negative id.
+    """
+
+    FREE = np.uint64((1 << 64) - 1)
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, numbers: np.ndarray, none: int, bits: int = 18):
+        self.none, self.shift, self.tables = none, np.uint64(64 - bits), []
+        keys, factor = self._keys(left, right), 0x9E3779B97F4A7C15
+        while len(keys):
+            place = keys * np.uint64(factor) >> self.shift
+            _, first = np.unique(place, return_index=True)
+            there, number = np.full(1 << bits, self.FREE), np.full(1 << bits, none, np.int32)
+            there[place[first]], number[place[first]] = keys[first], numbers[first]
+            self.tables.append((np.uint64(factor), there, number))
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, numbers = keys[rest], numbers[rest]
+            factor = (factor * 0xD1342543DE82EF95 & (1 << 64) - 1) | 1
+
+    @staticmethod
+    def _keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = self._keys(left, right)
+        shape, keys = keys.shape, keys.ravel()
+        out, asked = np.full(len(keys), self.none, np.int32), None
+        for factor, there, number in self.tables:
+            place = keys * factor >> self.shift
+            found = there[place]
+            hit = found == keys
+            if asked is None:
+                np.copyto(out, number[place], where=hit)
+                more = np.flatnonzero(~hit & (found != self.FREE))
+                asked = more
+            else:
+                out[asked[hit]] = number[place[hit]]
+                more = np.flatnonzero(~hit & (found != self.FREE))
+                asked = asked[more]
+            keys = keys[more]
+            if not len(keys):
+                break
+        return out.reshape(shape)

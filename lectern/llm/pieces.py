@@ -26,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, mixed
+from .common import PairTable, batched, mixed, stretches
 
 SPACE = "▁"
 MARKS = ",.;:!?$%&*#|"
-_MASK, _NONE = (1 << 32) - 1, 1 << 40
+_MASK, _NONE = (1 << 32) - 1, (1 << 31) - 1
 
 
 def _place_keys(text_keys: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -138,59 +138,66 @@ class PieceCodec:
         return out
 
     def _pairs(self) -> None:
-        """The merges as sorted keys (left id, right id), their ranks, and the ids of single characters."""
+        """The ranks of the merges by their pairs of ids, and the ids of single characters (below zero if there is none)."""
         ids = self.ids
         found = [(ids[p[:i]] << 32 | ids[p[i:]], r) for p, r in self.rank.items() for i in range(1, len(p)) if p[:i] in ids and p[i:] in ids]
-        self.keys, self.key_ranks = (np.array(x) for x in zip(*sorted(found), strict=True))
+        keys, ranks = (np.array(x) for x in zip(*found, strict=True))
+        self._ranks = PairTable(keys >> 32, keys & _MASK, ranks, _NONE)
         self.rank_ids = np.array([ids[p] for p in self.names])
         self.chars = -10 - np.arange(0x110000)
         for p, i in ids.items():
             if len(p) == 1:
                 self.chars[ord(p)] = i
+        self.chars[ord(" ")] = self.chars[ord(SPACE)]
 
-    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left.astype(np.int64) << 32 | right  # below zero if one of them is, and then not among the keys
-        at = np.searchsorted(self.keys[:-1], key)
-        return np.where(self.keys[at] == key, self.key_ranks[at], _NONE)
+    def segment_many(self, runs: list[str], keys: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """``segment`` of many short runs at once: their agendas advance step by step together.  Spaces may stand as they are.
 
-    def segment_many(self, runs: list[str], keys: np.ndarray | None = None, tried: list[bytes] | None = None) -> list[bytes]:
-        """``segment`` of many short runs at once: their agendas advance step by step together.
-
-        ``keys``: one a run; without them nothing is skipped, and ``tried`` gets each run's candidates.
+        Gives all ids, and where those of each run start and how many they are.  ``keys``: one a run; without them nothing
+        is skipped, and the candidates taken follow in the same way.
         """
-        if not hasattr(self, "keys"):
+        if not hasattr(self, "_ranks"):
             self._pairs()
-        out: list[bytes] = [b""] * len(runs)
-        seen: list[bytes] = [b""] * len(runs)
-        groups: dict[int, list[int]] = {}
-        for i, run in enumerate(runs):
-            size = -(-len(run) // 4) * 4
-            if size > 48 or "\0" in run:
-                mine: list[int] | None = None if keys is not None else []
-                out[i] = array("i", self.segment(run, 0 if keys is None else int(keys[i]), mine)).tobytes()
-                seen[i] = array("Q", mine or []).tobytes()
-            else:
-                groups.setdefault(size, []).append(i)
-        for size, every in groups.items():
-            for k in range(0, len(every), 20_000):
-                self._advance(runs, every[k : k + 20_000], size, keys, out, seen)
-        if tried is not None:
-            tried += seen
-        return out
-
-    def _advance(self, runs: list[str], where: list[int], size: int, keys: np.ndarray | None, out: list[bytes], seen: list[bytes]) -> None:
-        """A step takes the best candidate of every run; neighbours are linked, so a merge touches its own places only."""
-        limit, columns, none = self.limit, np.arange(size), np.int32(2**31 - 1)
-        sizes = np.array([len(runs[i]) for i in where])
-        sym = np.full((len(where), size), -1, np.int32)
-        sym[columns < sizes[:, None]] = self.chars[np.frombuffer("".join(runs[i] for i in where).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        key = keys[where].astype(np.uint64) if keys is not None else None
+        size = -(-np.fromiter(map(len, runs), np.int64, len(runs)) // 4) * 4
+        size[[i for i, r in enumerate(runs) if "\0" in r]] = 1000
+        parts = []
+        for width in np.unique(size).tolist():
+            where = np.flatnonzero(size == width)
+            if width > 48:
+                for i in where.tolist():
+                    mine: list[int] | None = None if keys is not None else []
+                    ids = self.segment(runs[i].replace(" ", SPACE), 0 if keys is None else int(keys[i]), mine)
+                    parts.append(([i], np.array(ids, np.int32), [len(ids)], np.array(mine or [], np.uint64), [len(mine or [])]))
+                continue
+            for k in range(0, len(where), 20_000):
+                part = where[k : k + 20_000]
+                parts.append((part, *self._advance([runs[i] for i in part.tolist()], width, None if keys is None else keys[part])))
+        if not parts:
+            parts = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        order, flat, n, codes, n_codes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        out = []
+        for data, many in ((flat, n),) if keys is not None else ((flat, n), (codes, n_codes)):
+            first, sizes = np.empty(len(runs), np.int64), np.empty(len(runs), np.int64)
+            first[order], sizes[order] = np.cumsum(many) - many, many
+            out += [data, first, sizes]
+        return tuple(out)
+
+    def _advance(self, runs: list[str], size: int, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A step takes the best candidate of every run; neighbours are linked, so a merge touches its own places only.
+
+        Gives the ids of all runs, how many each has, the candidates taken (without keys) and how many.
+        """
+        limit, columns, none = self.limit, np.arange(size), np.int32(_NONE)
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        sym = np.full((len(runs), size), -1, np.int32)
+        sym[columns < sizes[:, None]] = self.chars[np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        key = keys.astype(np.uint64) if keys is not None else None
         after = np.where(columns + 1 < sizes[:, None], columns + 1, size).astype(np.int16)
-        before = np.tile((columns - 1).astype(np.int16), (len(where), 1))
-        rank = np.full((len(where), size), none, np.int32)
-        rank[:, :-1] = np.minimum(self._ranks(sym[:, :-1], sym[:, 1:]), none)
+        before = np.tile((columns - 1).astype(np.int16), (len(runs), 1))
+        rank = np.full((len(runs), size), none, np.int32)
+        rank[:, :-1] = self._ranks(sym[:, :-1], sym[:, 1:])
         done = np.empty_like(sym)
-        row, taken = np.arange(len(where)), []
+        row, taken = np.arange(len(runs)), []
         while True:
             j = np.argmin(rank, axis=1)
             best = rank[np.arange(len(row)), j]
@@ -216,28 +223,24 @@ class PieceCodec:
             has = beyond < size
             before[n[has], beyond[has]] = i[has]
             right = np.where(has, sym[n, np.minimum(beyond, size - 1)], -1)
-            rank[n, i] = np.minimum(self._ranks(made, right), none)
+            rank[n, i] = self._ranks(made, right)
             h = before[n, i]
             has = h >= 0
             n, h, made = n[has], h[has], made[has]
-            rank[n, h] = np.minimum(self._ranks(sym[n, h], made), none)
-        full = (done != -1).sum(1)
-        flat, ends = done[done != -1].astype(np.int32), np.cumsum(full)
-        data = flat.tobytes()
-        strange = np.zeros(len(where), bool)
-        strange[np.repeat(np.arange(len(where)), full)[flat < 0]] = True
-        for i, a, b, odd in zip(where, (ends - full).tolist(), ends.tolist(), strange.tolist(), strict=True):
-            if odd:
-                spelled = [x for s in flat[a:b].tolist() for x in ([s] if s >= 0 else self._spell(chr(-10 - s)))]
-                out[i] = array("i", spelled).tobytes()
-            else:
-                out[i] = data[4 * a : 4 * b]
-        if taken:
-            rows, codes = (np.concatenate(x) for x in zip(*taken, strict=True))
-            order = np.argsort(rows, kind="stable")
-            data, ends = codes[order].tobytes(), np.cumsum(np.bincount(rows, minlength=len(where))).tolist()
-            for i, a, b in zip(where, [0, *ends], ends, strict=False):
-                seen[i] = data[8 * a : 8 * b]
+            rank[n, h] = self._ranks(sym[n, h], made)
+        there = done != -1
+        n, flat = there.sum(1), done[there]
+        if (odd := np.flatnonzero(flat < 0)).size:  # spelled in bytes
+            spelled = [self._spell(chr(-10 - c)) for c in flat[odd].tolist()]
+            more = np.ones(len(flat), np.int64)
+            more[odd] = [len(x) for x in spelled]
+            n = np.add.reduceat(more, np.cumsum(n) - n)
+            flat = np.repeat(flat, more)
+            flat[np.repeat(np.isin(np.arange(len(more)), odd), more)] = np.concatenate(spelled)
+        if not taken:
+            return flat.astype(np.int32), n, np.zeros(0, np.uint64), np.zeros(len(runs), np.int64)
+        rows, codes = (np.concatenate(x) for x in zip(*taken, strict=True))
+        return flat.astype(np.int32), n, codes[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(runs))
 
     def _learn(self, runs: list[str]) -> None:
         """Remembers the segmentation of runs without any skip, and the candidates that it takes."""
@@ -248,9 +251,11 @@ class PieceCodec:
             if r not in memo and r in older:
                 memo[r] = older[r]
         new = [r for r in runs if r not in memo]
-        tried: list[bytes] = []
-        coded = self.segment_many([r.replace(" ", SPACE) for r in new], None, tried)
-        self.memo.update(zip(new, zip(coded, tried, strict=True), strict=True))
+        if new:
+            flat, first, n, codes, at, many = self.segment_many(new)
+            data, code = flat.tobytes(), codes.tobytes()
+            pairs = zip((4 * first).tolist(), (4 * (first + n)).tolist(), (8 * at).tolist(), (8 * (at + many)).tolist(), strict=True)
+            memo.update(zip(new, [(data[a:b], code[c:d]) for a, b, c, d in pairs], strict=True))
 
     def encode_many(self, texts: list[str], keys: list[int]) -> list[bytes]:
         """``encode_bytes`` of many texts.
@@ -280,26 +285,33 @@ class PieceCodec:
         self._learn(list(number))
         known = [self.memo[r] for r in number]
         which = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-        coded = [known[k][0] for k in which.tolist()]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        data = [np.frombuffer(b"".join([k[0] for k in known]), np.int32)]
+        n = np.fromiter((len(k[0]) for k in known), np.int64, len(known)) // 4
+        first, many = (np.cumsum(n) - n)[which], n[which]
         if self.limit:
-            sizes = np.array([len(runs) for runs in split])
             place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             own = _place_keys(np.repeat(np.array([keys[i] for i in where], np.uint64), sizes), place.astype(np.uint64))
-            codes = np.frombuffer(b"".join(k[1] for k in known), np.uint64)
-            n = np.array([len(k[1]) // 8 for k in known])
-            first, each = (np.cumsum(n) - n)[which], n[which]
+            codes = np.frombuffer(b"".join([k[1] for k in known]), np.uint64)
+            n = np.fromiter((len(k[1]) for k in known), np.int64, len(known)) // 8
+            start, each = (np.cumsum(n) - n)[which], n[which]
+            at = len(data[0])
             for lo in range(0, len(flat), 100_000):
                 m = each[lo : lo + 100_000]
                 row = np.repeat(np.arange(lo, lo + len(m)), m)
-                code = codes[np.arange(len(row)) + np.repeat(first[lo : lo + len(m)] - (np.cumsum(m) - m), m)]
-                skipped = np.unique(row[_drawn(own[row], code >> np.uint64(32), code & np.uint64(_MASK)) < self.limit])
-                runs = [flat[i].replace(" ", SPACE) for i in skipped.tolist()]
-                for i, ids in zip(skipped.tolist(), self.segment_many(runs, own[skipped]), strict=True):
-                    coded[i] = ids
-        at = 0
-        for i, runs in zip(where, split, strict=True):
-            out[i] = b"".join(coded[at : at + len(runs)])
-            at += len(runs)
+                code, _ = stretches(codes, start[lo : lo + len(m)], m)
+                skip = np.zeros(len(m), bool)
+                skip[row[_drawn(own[row], code >> np.uint64(32), code & np.uint64(_MASK)) < self.limit] - lo] = True
+                skipped = np.flatnonzero(skip) + lo
+                ids, there, n = self.segment_many([flat[i] for i in skipped.tolist()], own[skipped])
+                data.append(ids)
+                first[skipped], many[skipped] = there + at, n
+                at += len(ids)
+        ids, ends = stretches(np.concatenate(data), first, many)
+        ends = 4 * ends[np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))]
+        whole = ids.tobytes()
+        for i, a, b in zip(where, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[i] = whole[a:b]
 
     def encode(self, text: str, key: int = 0) -> list[int]:
         return array("i", self.encode_bytes(text, key)).tolist()
