@@ -63,10 +63,6 @@ both("SRC12", lambda d: "select conv_id, row_y, text, x_start, x_end from (selec
 both("BLK1", lambda d: f"""select page_id, case when marks >= 3 or (length(html) > 3000 and quality > 0.6e0) then 'html' else 'text' end as mode from (select page_id, html, quality,
     {' + '.join(f"case when contains(html, '{t}') then 1 else 0 end" for t in ('<article', '<section', '<main', '<h1', '<h2', '<ul', '<ol', '<table', '<blockquote'))} as marks
     from (select page_id, html, length({d.rr('html', '<[^>]*>', '')}) * 1e0 / greatest(1, length(html)) as quality from pages) q) m""")
-BLOCKS = r"<(?:p|h[1-6]|li|blockquote|pre)(?: [^>]*)?>[^<]*"
-both("BLK3", lambda d: f"""select page_id, kind, content, row_number() over (partition by page_id order by first_no) as place from (select page_id, {normal(d, 'content')} as same, min(block_no) as first_no, min(content) as content, min(kind) as kind from
-    (select page_id, block_no, trim({d.extract('block', '>(.*)$', 1)}) as content, case when block like '<h%' then 'heading' when block like '<li%' then 'list' when block like '<b%' then 'quote' when block like '<pre%' then 'code' else 'paragraph' end as kind
-    from {d.explode('page_id', 'pages', d.all('html', BLOCKS), 'block')} b) c where length(content) >= 20 and not {d.like('lower(content)', 'cookie|subscribe|all rights reserved|newsletter')} group by 1, 2) u""")
 both("BLK7", lambda d: "select distinct page_id, trim(p) as paragraph from " + d.explode("page_id", "pages", d.all("html", "<p>([^<]*)", 1), "p") + f" e where length(trim(p)) >= 50 and {words(d, 'p')} >= 8")
 both("BLK8", lambda d: "select page_id, p_no, trim(p) as paragraph from " + d.explode("page_id", "pages", f"case when html like '%<p>%' then {d.all('html', '<p>([^<]*)', 1)} else {d.split(d.rr('html', '<[^>]*>', chr(1)), chr(1) + '+')} end", "p") + " e where trim(p) <> ''")
 both("BLK10", lambda d: """select p.doc_id, p.paragraph_no, p.paragraph from paragraphs p left join (select doc_id, count(*) as n from text_lines where font = 16 group by doc_id) b on b.doc_id = p.doc_id where b.n is null

@@ -6,14 +6,17 @@ rows worked out by hand from the rules.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import similarity
+from lectern.functions.anchors import LAST_RESORT, anchored
 from lectern.functions.sentences import PROFILES, clean_text, cut_sentences, in_open_scope, join_lines, split_sentences
 from lectern.plans.base import SPARK, Dialect, both, with_views
 from lectern.registry import query
@@ -216,30 +219,71 @@ def _csv(d: Dialect) -> str:
 both("SRC14", _csv)
 
 
-def alignment(blocks: DataFrame, stored: DataFrame, least: float | None = None) -> DataFrame:
-    """(doc_id, block_no, no, id, how, similarity): the stored sentence of each block sentence, by hash, else by likeness.
+def candidates(ours: DataFrame, theirs: DataFrame, least: float) -> DataFrame:
+    """(doc_id, norm, key, likeness): the stored normal forms (doc_id, key, norm) of a document that are at least ``least`` like one of ours.
 
-    ``blocks``: (doc_id, block_no, no, text), ``stored``: (doc_id, id, text).  Equal normal forms meet in a hash join, the
-    least id of equals.  The rest meet the sentences of their document that share a token, as without one two
-    texts have no likeness at all; the most alike wins, ties to the least id, if it reaches the threshold of the
-    block sentence's length and signs (or ``least``).
+    Likeness ``least`` needs ``least`` of a form's distinct tokens in the other, repeats counted, so of its tokens in the order of
+    their rarity in the document all but that many (less one) are an index: two forms that are alike share one of these.
+    Common words come last, so they bring no two forms together that share nothing else.
+    """
+    alias = "doc_id", "key", "norm"
+
+    def counted(rows: DataFrame) -> DataFrame:
+        words = rows.select("doc_id", "key", F.explode(F.filter(F.split("norm", " "), lambda w: w != "")).alias("w")).groupBy("doc_id", "key", "w").agg(F.count("*").alias("c"))
+        return words.select("doc_id", "key", "w", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("nth"))
+
+    forms = ours.select("doc_id", "norm").distinct().withColumn("key", F.xxhash64("norm"))
+    stored = counted(theirs)
+    common = stored.groupBy("doc_id", "w", "nth").agg(F.count("*").alias("many"))
+
+    def index(tokens: DataFrame) -> DataFrame:
+        by_form = Window.partitionBy("doc_id", "key")
+        ranked = tokens.join(common, ["doc_id", "w", "nth"], "left").select(
+            "doc_id", "key", "w", "nth", F.row_number().over(by_form.orderBy(F.coalesce("many", F.lit(0)), "w", "nth")).alias("place"),
+            F.count("*").over(by_form).alias("n"), F.count_if(F.col("nth") == 1).over(by_form).alias("different"),
+        )
+        return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("different") * F.lit(least) - 1e-9) + 1).select("doc_id", "w", "nth", "key")
+
+    met = index(counted(forms.select(*alias))).withColumnRenamed("key", "own").join(index(stored), ["doc_id", "w", "nth"]).select("doc_id", "own", "key").distinct()
+    texts = met.join(forms.select("doc_id", F.col("key").alias("own"), F.col("norm")), ["doc_id", "own"]).join(theirs.select("doc_id", "key", F.col("norm").alias("theirs")), ["doc_id", "key"])
+    return texts.withColumn("likeness", F.expr(similarity.light("norm", "theirs"))).where(F.col("likeness") >= least).select("doc_id", "norm", "key", "likeness")
+
+
+ANCHORED = "doc_id bigint, block_no bigint, no bigint, id bigint, how string, likeness double, start_id bigint, end_id bigint, matched bigint, sentences bigint"
+
+
+def anchoring(blocks: DataFrame, stored: DataFrame) -> DataFrame:
+    """``ANCHORED`` rows: the matches of every block sentence, and the anchors of blocks (``no`` null).
+
+    ``blocks``: (doc_id, block_no, no, text), ``stored``: (doc_id, id, text).  Block by block, each sentence takes the first free
+    stored sentence of its normal form, else the free one most like it that reaches its threshold; a block
+    without any takes what is at least 0.30 alike.  Ids in the range of a block's matches are free no more; a block whose range
+    holds a taken one gets no anchor.  The last anchor is extended to the document's last sentence.
+
+    What is alike is found by joins; only the order of blocks is left to a task, which holds the ids and the taken
+    intervals of one document at a time.  Rows of a null document, block, number or text take no part.
     """
     from lectern.plans.scalars import normal
 
     def normed(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("norm", F.expr(normal(SPARK, "text"))).withColumn("hash", F.xxhash64("norm"))
+        return rows.where("doc_id is not null and text is not null").withColumn("norm", F.expr(normal(SPARK, "text")))
+
+    ours = normed(blocks.where("block_no is not null and no is not null")).withColumn("least", F.expr(threshold("text")))
+    theirs = normed(stored).groupBy("doc_id", "norm").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("key", F.col("ids")[0])
+    alike = candidates(ours, theirs, LAST_RESORT).groupBy("doc_id", "norm").agg(F.sort_array(F.collect_list(F.struct("likeness", "key")), asc=False).alias("alike"))
+    equal = theirs.select("doc_id", "norm", "key")
+    asked = ours.join(equal, ["doc_id", "norm"], "left").join(alike, ["doc_id", "norm"], "left")
+    rows = theirs.select("doc_id", F.lit(None).cast("bigint").alias("block_no"), F.lit(None).cast("bigint").alias("no"), "key", "ids", F.lit(None).cast("double").alias("least"), F.lit(None).cast(alike.schema["alike"].dataType).alias("alike"))
+    rows = rows.unionByName(asked.select("doc_id", F.col("block_no").cast("bigint").alias("block_no"), F.col("no").cast("bigint").alias("no"), "key", F.lit(None).cast("array<bigint>").alias("ids"), F.col("least").cast("double").alias("least"), "alike"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        out = (r for _, of in itertools.groupby(flat, lambda r: r[0]) for r in anchored(of))
+        names = [(n, pa.string() if n == "how" else pa.float64() if n == "likeness" else pa.int64()) for n in (c.split()[0] for c in ANCHORED.split(", "))]
+        while part := list(itertools.islice(out, 5000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*part, strict=True), names, strict=True)], schema=pa.schema(names))
 
-    ours, theirs = normed(blocks), normed(stored)
-    equal = theirs.groupBy("doc_id", "hash", "norm").agg(F.min("id").alias("id"))
-    by_hash = ours.join(equal, ["doc_id", "hash", "norm"]).select("doc_id", "block_no", "no", "id", F.lit("hash").alias("how"), F.lit(1.0).alias("similarity"))
-    rest = ours.join(equal, ["doc_id", "hash", "norm"], "left_anti").withColumn("least", F.lit(least) if least is not None else F.expr(threshold("text")))
-    words = F.array_distinct(F.filter(F.split("norm", " "), lambda w: w != ""))
-    met = rest.select("doc_id", "block_no", "no", F.explode(words).alias("w")).join(theirs.select("doc_id", "id", F.explode(words).alias("w")), ["doc_id", "w"])
-    met = met.select("doc_id", "block_no", "no", "id").distinct()
-    both_texts = met.join(rest.select("doc_id", "block_no", "no", F.col("norm").alias("x"), "least"), ["doc_id", "block_no", "no"]).join(theirs.select("doc_id", "id", F.col("norm").alias("y")), ["doc_id", "id"])
-    alike = both_texts.withColumn("similarity", F.expr(similarity.light("x", "y"))).where("similarity >= least and similarity > 0")
-    best = alike.groupBy("doc_id", "block_no", "no").agg(F.max(F.struct("similarity", (-F.col("id")).alias("back"))).alias("m"))
-    return by_hash.unionByName(best.select("doc_id", "block_no", "no", (-F.col("m.back")).alias("id"), F.lit("likeness").alias("how"), "m.similarity"))
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", F.col("block_no").asc_nulls_first(), "no").mapInArrow(run, ANCHORED)
 
 
 def threshold(x: str) -> str:
@@ -255,32 +299,17 @@ EDITED = """select doc_id, paragraph_no as block_no, id as no, case id % 4 when
     else left(sentence, cast(length(sentence) * 2 / 3 as int)) end as text from sentences"""
 
 
-@query("JN26")
-def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored sentence of every block sentence."""
-    return alignment(view(spark, sf_dir, EDITED, "documents"), view(spark, sf_dir, "select doc_id, id, sentence as text from sentences", "documents"))
+def _anchoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchoring(view(spark, sf_dir, EDITED, "documents"), view(spark, sf_dir, "select doc_id, id, sentence as text from sentences", "documents"))
 
 
-def attach(matches: DataFrame, stored: DataFrame) -> DataFrame:
-    """(doc_id, block_no, start_id, end_id, matched): the range of stored sentences of each block, in block order.
-
-    A block's range is from its least to its greatest matched id.  One that holds a sentence of a range before is
-    left out, and the last one kept is extended to the document's last sentence.  The fold goes over the ranges of one document.
-    """
-    ranges = matches.groupBy("doc_id", "block_no").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n"))
-    free = "forall(kept, k -> r.z < k.a or r.a > k.z)"
-    fold = f"aggregate(ranges, cast(array() as array<struct<block_no:bigint,a:bigint,z:bigint,n:bigint>>), (kept, r) -> if({free}, concat(kept, array(r)), kept))"
-    one = F.struct(F.col("block_no").cast("long").alias("block_no"), "a", "z", F.col("n").cast("long").alias("n"))
-    folded = ranges.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("ranges")).select("doc_id", F.posexplode(F.expr(fold)).alias("at", "r"), F.expr(f"size({fold})").alias("blocks"))
-    last = stored.groupBy("doc_id").agg(F.max("id").alias("last"))
-    top = folded.groupBy("doc_id").agg(F.max("r.z").alias("top"))
-    ends = folded.join(last, "doc_id").join(top, "doc_id")
-    extends = (F.col("at") + 1 == F.col("blocks")) & (F.col("last") > F.col("top"))
-    return ends.select("doc_id", "r.block_no", F.col("r.a").alias("start_id"), F.when(extends, F.col("last")).otherwise(F.col("r.z")).alias("end_id"), F.when(extends, F.col("last") - F.col("r.a") + 1).otherwise(F.col("r.n")).alias("matched"))
+@query("JN26")
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored sentence of every block sentence, none for two blocks."""
+    return _anchoring(spark, sf_dir).where("no is not null").select("doc_id", "block_no", "no", "id", "how", F.col("likeness").alias("similarity"))
 
 
 @query("ANC1")
 def attached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The anchor of every block."""
-    stored = view(spark, sf_dir, "select doc_id, id, sentence as text from sentences", "documents")
-    return attach(alignment(view(spark, sf_dir, EDITED, "documents"), stored), stored)
+    return _anchoring(spark, sf_dir).where("no is null").select("doc_id", "block_no", "start_id", "end_id", "matched", "sentences")

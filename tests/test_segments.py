@@ -136,14 +136,78 @@ def test_merged_blocks(spark):
     assert got == {i: want for i, (_, want) in enumerate(cases)}
 
 
-def test_anchors(spark):
+def simulated(blocks, stored, light, least):
+    """Anchors by the definition: block after block, every free sentence looked at."""
+    matches, anchors = [], []
+    for doc in sorted({b[0] for b in blocks}):
+        all_ = sorted((i, t) for d, i, t in stored if d == doc)
+        used, last = set(), None
+        for block in sorted({b[1] for b in blocks if b[0] == doc}):
+            mine = sorted((no, t) for d, b, no, t in blocks if (d, b) == (doc, block))
+            found = []
+            for no, t in mine:
+                equal = [i for i, s in all_ if s == t and i not in used]
+                scored = [(-light[t, s], i) for i, s in all_ if i not in used and light[t, s] >= least[t] and light[t, s] > 0]
+                if equal:
+                    found.append((doc, block, no, equal[0], "hash"))
+                elif scored:
+                    found.append((doc, block, no, min(scored)[1], "likeness"))
+            if not found:
+                for no, t in mine:
+                    if scored := [(-light[t, s], i) for i, s in all_ if i not in used and light[t, s] >= 0.3]:
+                        found.append((doc, block, no, min(scored)[1], "last resort"))
+            matches += found
+            ids = [f[3] for f in found]
+            if ids and not used & set(range(min(ids), max(ids) + 1)):
+                used |= set(range(min(ids), max(ids) + 1))
+                last = [doc, block, min(ids), max(ids), len(ids), len(mine)]
+                anchors.append(last)
+        if last and all_[-1][0] > max(used):
+            last[3], last[4] = all_[-1][0], all_[-1][0] - last[2] + 1
+    return sorted(matches), sorted(map(tuple, anchors))
+
+
+def test_anchors_equal_a_simulation(spark):
+    """Documents whose blocks compete for sentences: equal ones, repeats, near ones, and blocks that only the last resort helps."""
+    rng = random.Random(8)
+    words = ["the", "the", "the", "river", "stone", "lantern", "sky", "valley", "of", "of", "morning", "boat"]
+    line = lambda: " ".join(rng.choices(words, k=rng.randrange(1, 9)))
+    stored, blocks = [], []
+    for doc in range(40):
+        texts = [line() for _ in range(rng.randrange(3, 16))]
+        stored += [(doc, 10 * doc + i, t if rng.random() < 0.8 else texts[0]) for i, t in enumerate(texts)]
+        for block in range(rng.randrange(1, 8)):
+            blocks += [(doc, block, no, rng.choice(texts) if rng.random() < 0.5 else line()) for no in range(rng.randrange(1, 4))]
+    stored_df, blocks_df = spark.createDataFrame(stored, "doc_id long, id long, text string"), spark.createDataFrame(blocks, "doc_id long, block_no long, no long, text string")
+    pairs = spark.createDataFrame(sorted({(b[3], s[2]) for b in blocks for s in stored if b[0] == s[0]}), "x string, y string")
+    light = {(r.x, r.y): r.l for r in pairs.select("x", "y", F.expr(similarity.light("x", "y")).alias("l")).collect()}
+    least = {r.x: r.t for r in pairs.select("x", F.expr(segments.threshold("x")).alias("t")).distinct().collect()}
+    out = segments.anchoring(blocks_df, stored_df).collect()
+    matches, anchors = simulated(blocks, stored, light, least)
+    assert sorted((r.doc_id, r.block_no, r.no, r.id, r.how) for r in out if r.no is not None) == matches
+    assert sorted((r.doc_id, r.block_no, r.start_id, r.end_id, r.matched, r.sentences) for r in out if r.no is None) == anchors
+    assert {m[4] for m in matches} == {"hash", "likeness", "last resort"}
+    odd = [(None, 1, 1, "x"), (1, None, 1, "y"), (99, 1, 1, "no such document"), (1, 1, 1, None)]
+    assert segments.anchoring(spark.createDataFrame(odd, blocks_df.schema), stored_df.limit(0)).count() == 0
+    assert segments.anchoring(blocks_df.limit(0), stored_df).count() == 0
+
+
+def test_anchors_by_hand(spark):
     stored = [(1, 1, "The river runs slowly to the sea."), (1, 2, "Stones lie in the water."), (1, 3, "A lantern hangs above it."), (1, 4, "Nobody is there."), (2, 1, "The river runs slowly to the sea.")]
     blocks = [(1, 1, 1, "The River runs slowly to the sea"), (1, 1, 2, "Stones lie in cold water."), (1, 2, 1, "Stones lie in the water."), (1, 3, 1, "A lantern hangs above it."), (1, 4, 1, "Nothing alike")]
-    stored = spark.createDataFrame(stored, "doc_id long, id long, text string")
-    matches = segments.alignment(spark.createDataFrame(blocks, "doc_id long, block_no long, no long, text string"), stored)
-    got = {(r.block_no, r.no): (r.id, r.how) for r in matches.collect()}
-    assert got == {(1, 1): (1, "hash"), (1, 2): (2, "likeness"), (2, 1): (2, "hash"), (3, 1): (3, "hash")}
-    assert sorted(tuple(r) for r in segments.attach(matches, stored).collect()) == [(1, 1, 1, 2, 2), (1, 3, 3, 4, 2)]
+    out = segments.anchoring(spark.createDataFrame(blocks, "doc_id long, block_no long, no long, text string"), spark.createDataFrame(stored, "doc_id long, id long, text string")).collect()
+    assert {(r.block_no, r.no): (r.id, r.how) for r in out if r.no is not None} == {(1, 1): (1, "hash"), (1, 2): (2, "likeness"), (3, 1): (3, "hash")}
+    assert sorted((r.block_no, r.start_id, r.end_id, r.matched) for r in out if r.no is None) == [(1, 1, 2, 2), (3, 3, 4, 2)]
+
+
+def test_candidates_share_more_than_a_common_word(spark, monkeypatch):
+    """No two forms meet that share only the word that all have."""
+    forms = [(1, f"the a{i} b{i} c{i} d{i} e{i}") for i in range(50)]
+    theirs = spark.createDataFrame([(1, i, t) for i, (_, t) in enumerate(forms)], "doc_id long, key long, norm string")
+    met = []
+    monkeypatch.setattr(similarity, "light", lambda x, y: met.append(1) or "if(norm = theirs, 1e0, 0.5e0)")
+    ours = spark.createDataFrame(forms, "doc_id long, norm string")
+    assert segments.candidates(ours, theirs, 0.3).count() == 50 and met
 
 
 def test_polite_forms(spark):
