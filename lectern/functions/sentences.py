@@ -38,6 +38,8 @@ SENTENCE_START = re.compile(rf"[{OPENS}]?\s*[A-Z]")
 SENTENCE_END = re.compile(r"[.!?][\"'’”)\]]*$")
 VERB = re.compile(rf"(?a:\b)(?:{'|'.join(VERBS)})(?a:\b)", re.I)
 MASK = "\1"
+SOLID, FIVE_WORDS = re.compile(r"\S"), re.compile(r"\S+(?:\s+\S+){4}")
+INTRODUCES = re.compile(rf"(?:{LIST_INTRO})$", re.I)
 
 
 class Profile(NamedTuple):
@@ -58,34 +60,74 @@ PROFILES = {
 }
 
 
+class Scope:
+    """Which brackets and quotations are open in a text from ``begin`` on, kept as the text is read further."""
+
+    SIGNS = re.compile(r"[()\[\]{}\"'“”‘’]")
+
+    def __init__(self, text: str, begin: int = 0):
+        self.text, self.begin, self.at = text, begin, begin
+        self.depth, self.quoted, self.held = dict.fromkeys("([{", 0), {"'": False, '"': False}, {"'": 0, '"': 0}
+
+    def read(self, to: int) -> bool:
+        """Reads on to ``to``; is anything open there?  Apostrophes of words open nothing."""
+        depth, quoted, held = self.depth, self.quoted, self.held
+        for m in self.SIGNS.finditer(self.text, self.at, to):
+            sign, at = m[0], m.start()
+            if sign in depth:
+                depth[sign] += 1
+                continue
+            if sign in ")]}":
+                opener = "([{"[")]}".index(sign)]
+                depth[opener] = max(0, depth[opener] - 1)
+                continue
+            kind = '"' if sign in '"“”' else "'"
+            after_letter = at > self.begin and re.match("[a-zA-Z]", self.text[at - 1]) is not None
+            if kind == "'" and after_letter and (sign == "'" or sign == "’" and not held[kind]):
+                continue
+            opens = sign in "“‘" or sign in "'\"" and not quoted[kind] or sign == "’" and not held[kind]
+            if sign == "”" and not held[kind]:
+                continue
+            held[kind] = max(0, held[kind] + (1 if opens else -1))
+            quoted[kind] = opens or (sign in "”’" and held[kind] > 0)
+        self.at = to
+        return any(depth.values()) or any(quoted.values())
+
+
 def in_open_scope(text: str) -> bool:
-    """Is a bracket or quotation opened in ``text`` and not closed?  Apostrophes of words open nothing."""
-    depth, quoted, held = dict.fromkeys("([{", 0), {"'": False, '"': False}, {"'": 0, '"': 0}
-    for m in re.finditer(r"[()\[\]{}\"'“”‘’]", text):
-        sign, at = m[0], m.start()
-        if sign in depth:
-            depth[sign] += 1
-            continue
-        if sign in ")]}":
-            opener = "([{"[")]}".index(sign)]
-            depth[opener] = max(0, depth[opener] - 1)
-            continue
-        kind = '"' if sign in '"“”' else "'"
-        after_letter = bool(re.match("[a-zA-Z]", text[at - 1 : at])) if at else False
-        if kind == "'" and after_letter and (sign == "'" or sign == "’" and not held[kind]):
-            continue
-        opens = sign in "“‘" or sign in "'\"" and not quoted[kind] or sign == "’" and not held[kind]
-        if sign == "”" and not held[kind]:
-            continue
-        held[kind] = max(0, held[kind] + (1 if opens else -1))
-        quoted[kind] = opens or (sign in "”’" and held[kind] > 0)
-    return any(depth.values()) or any(quoted.values())
+    """Is a bracket or quotation opened in ``text`` and not closed?"""
+    return Scope(text).read(len(text))
 
 
-def ends_abbreviated(text: str) -> bool:
-    """Does the text before a mark end with an abbreviation, a citation, a numbered reference or a placeholder?"""
-    text = text.strip()
-    return bool(REFERENCE.search(text) or ABBREVIATED.search(text))
+def ends_abbreviated(text: str, begin: int = 0, end: int | None = None) -> bool:
+    """Does the text before a mark end with an abbreviation, a citation, a numbered reference or a placeholder?
+
+    Abbreviations are short, and a reference starts at the last bracket that opens, so only that much is looked at.
+    """
+    end = len(text) if end is None else end
+    while end > begin and text[end - 1].isspace():
+        end -= 1
+    if end > begin and text[end - 1] in ")]":
+        at = text.rfind("(" if text[end - 1] == ")" else "[", begin, end)
+        return at >= 0 and REFERENCE.match(text[at:end]) is not None
+    return ABBREVIATED.search(text[max(begin, end - 40) : end]) is not None
+
+
+def _colon(masked: str) -> int | None:
+    """The first colon that no list follows but a full sentence: a capital, five words, a verb and a mark at the end."""
+    if ":" not in masked:
+        return None
+    stripped = masked.rstrip()
+    end = SENTENCE_END.search(stripped, max(0, len(stripped) - 200))
+    last_verb = max((m.start() for m in VERB.finditer(masked)), default=-1)
+    for m in re.finditer(":", masked):
+        at = m.end()
+        start = SOLID.search(masked, at)
+        if end is None or start is None or last_verb < at or end.start() < at:
+            return None  # nor do later ones
+        if SENTENCE_START.match(masked, start.start()) and FIVE_WORDS.match(masked, start.start()) and not INTRODUCES.search(masked[max(0, m.start() - 40) : m.start()].rstrip()):
+            return m.start()
+    return None
 
 
 def opens_full_sentence(text: str) -> bool:
@@ -96,16 +138,18 @@ def opens_full_sentence(text: str) -> bool:
 
 def _ends(masked: str, start: int, stop: int) -> list[int]:
     """Where the sentences of a region end, its last one left out."""
-    out, begin = [], start
-    for m in MARK.finditer(masked[:stop]):
+    out, begin, scope = [], start, Scope(masked, start)
+    last = len(masked[:stop].rstrip())
+    for m in MARK.finditer(masked, 0, stop):
         at = m.start()
         if at < begin:
             continue
-        rest = masked[at + 1 : stop].strip()
-        if ends_abbreviated(masked[begin:at]) or in_open_scope(masked[begin:at]) or (0 < len(rest) < 5 and MASK not in rest):
+        solid = SOLID.search(masked, at + 1, stop)
+        after = solid.start() if solid else stop
+        if scope.read(at) or ends_abbreviated(masked, begin, at) or (0 < last - after < 5 and MASK not in masked[after:last]):
             continue
         out.append(at + 1)
-        begin = at + 1 + len(masked[at + 1 : stop]) - len(masked[at + 1 : stop].lstrip())
+        begin, scope = after, Scope(masked, after)
     return out
 
 
@@ -114,14 +158,7 @@ def cut_sentences(text: str, archetype: str) -> list[tuple[str, str]]:
     profile, masked = PROFILES[archetype], text
     for pattern in profile.protected:
         masked = pattern.sub(lambda m: MASK * len(m[0]), masked)
-    colon = next(
-        (
-            m.start()
-            for m in re.finditer(":", masked)
-            if not re.search(f"(?:{LIST_INTRO})$", masked[: m.start()].strip(), re.I) and opens_full_sentence(masked[m.end() :])
-        ),
-        None,
-    )
+    colon = _colon(masked)
     regions = [(0, len(text), "rest")] if colon is None else [(0, colon, "colon"), (colon + 1, len(text), "rest")]
     pieces = []
     for start, stop, last in regions:
@@ -148,6 +185,7 @@ def _type(text: str, how: str, utterance: str) -> str:
     return "sentence"
 
 
+# List items and addresses, as the joining of lines sees them.
 LIST_LINE = re.compile(r"\s*(?:[-*•]|\d+\.)\s+")
 ADDRESS = re.compile(r"(?i:https?://|www\.)|\S+@\S+\.\S+")
 

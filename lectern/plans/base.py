@@ -100,8 +100,8 @@ VIEWS: dict[str, Callable[[Dialect], str]] = {
         case doc_id % 4 when 0 then 'Academic' when 1 then 'Literature' when 2 then 'News' else 'Essays' end as category,
         doc_id % 3 <> 0 as is_public, doc_id % 7 = 0 as is_archived, cast(doc_id % 720 as bigint) as created_h,
         case when doc_id % 5 = 0 then null else cast((doc_id * 7) % 720 as bigint) end as activity_h, cast(doc_id % 150 as bigint) as owner,
-        case when doc_id % 6 = 0 then 'uploaded' when doc_id % 6 = 1 then 'explore' when doc_id % 6 = 2 then 'rss' else 'web' end as source_type,
-        case when doc_id % 9 = 0 then cast(doc_id % 720 as bigint) + 240 end as expires_h from documents""",
+        case doc_id % 23 % 6 when 0 then 'uploaded' when 1 then 'explore' when 2 then 'rss' else 'web' end as source_type,
+        case when doc_id % 13 < 2 then cast(doc_id % 720 as bigint) + 240 end as expires_h from documents""",
     "paragraphs": lambda d: "select doc_id, paragraph_no, trim(paragraph) as paragraph from "
     + d.explode("doc_id", "documents", d.split("text", r"\n"), "paragraph")
     + " p where trim(paragraph) <> ''",

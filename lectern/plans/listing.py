@@ -50,7 +50,7 @@ both("FLT15", lambda d: """select id, title from docs where is_public and (conta
 both("FLT16", lambda d: "select id, title from docs where not is_archived order by coalesce(activity_h, created_h) desc, id desc limit 1")
 # all of the chosen tags, of a term with three
 both("FLT18", lambda d: f"""select id, term, translation, mastery from (select *, {'array' if d.spark else 'list_value'}(tag, split_part(translation, ' ', 1), case when mastery > 3 then 'known' else 'open' end) as tags from glossary) g
-    where (term ilike '%a%' or translation ilike '%steel%') and {'array_contains' if d.spark else 'list_contains'}(tags, 'Brand#1') and {'array_contains' if d.spark else 'list_contains'}(tags, 'open') and doc_id < 150 order by mastery, id""")
+    where (term ilike '%a%' or translation ilike '%steel%') and {'array_contains' if d.spark else 'list_contains'}(tags, 'Brand#1') and {'array_contains' if d.spark else 'list_contains'}(tags, 'open') order by mastery, id""")
 both("FLT19", lambda d: sorted_by("""(select s.id, s.doc_id, s.sentence, coalesce(i.level, -1) as level from sentences s left join (select item, level from item_state where user_id = 5) i on i.item = s.id % 40
     where s.sentence ilike '%tion%' and coalesce(i.level, -1) < 3)""", {"newest": "id desc", "oldest": "doc_id", "alphabet": "sentence", "level": "level desc"}, "limit 50 offset 5"))
 both("FLT20", lambda d: """select id, pos, case when pos > 31 then '…' else '' end || substr(sentence, cast(greatest(1, pos - 30) as int), cast(least(30, pos - 1) + 53 as int)) ||
@@ -61,7 +61,8 @@ both("FLT23", lambda d: f"select page_id, url from pages where {d.like('url', '^
 both("FLT25", lambda d: """select user_id, fails, fails >= 5 as locked from (select user_id, count_if(event_type = 'error') as fails from events group by user_id) f""")
 both("FLT26", lambda d: """select n.notebook, count(*) as found from notes n join notebooks b on n.notebook = b.id where n.content ilike '%urgent%' group by n.notebook""")
 both("FLT28", lambda d: "select turn, conv_id from conversations where role = 'user' and not text like '%ing%'")
-both("FLT29", lambda d: "select a.page_id from articles a join (select title, url, min(page_id) as first from articles group by title, url) f on f.title = a.title and f.url = a.url where a.page_id > f.first")
+DELIVERED = "(select page_id, title, url from articles union all select page_id + 1000000, title, url from articles where page_id % 10 = 0)"  # every tenth page is delivered twice
+both("FLT29", lambda d: f"select a.page_id from {DELIVERED} a join (select title, url, min(page_id) as first from {DELIVERED} b group by title, url) f on f.title = a.title and f.url = a.url where a.page_id > f.first")
 both("SRT1", lambda d: "select id, activity_h, created_h from docs order by activity_h desc nulls first, created_h desc, id limit 40")
 both("SRT2", lambda d: "select user_id, item, level from item_state order by (last_day + power(2, level) <= 30) desc, level, user_id, item limit 10")
 both("SRT3", lambda d: "select d.id, t.pages from docs d cross join (select cast(ceil(count(*) / 12.0) as bigint) as pages from docs) t order by d.id limit 12 offset 24")

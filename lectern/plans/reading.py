@@ -57,9 +57,9 @@ both("FLT17", lambda d: """select n.id, n.notebook, case when n.content is null
 both("FLT22", lambda d: f"""select page_id, not ((width > 0 and height > 0 and (width < 100 or height < 100)) or src like '%ad%' or src like '%banner%' or src like '%icon%' or src like '%logo%' or alt like '%ad%') as significant,
     {d.like('lower(src)', '[.](jpg|jpeg|png|webp|gif|svg)|image|photo|thumbnail|pic|wp-content|uploads|media|assets|cdn|imgur|flickr')} as image
     from (select page_id, url as src, page_id * 37 % 400 as width, page_id * 53 % 300 as height, title as alt from articles) i""")
+LINES = """(select doc_id, paragraph_no, case when paragraph_no %% 2 = 0 then %s || '-' else paragraph end as l, lead(trim(paragraph)) over (partition by doc_id order by paragraph_no) as r from paragraphs)"""  # every other line ends in a hyphen
 both("STR16", lambda d: f"""select doc_id, paragraph_no, joins, case when joins then l || r else l || ' ' || r end as merged from
-    (select doc_id, paragraph_no, l, r, l like '%-' and {d.like('l', '[A-Za-z]-$')} and ({d.like('r', '^[A-Z]')} or {words(d, 'r')} <= 2) as joins from
-    (select doc_id, paragraph_no, left(paragraph, 30) || case when paragraph_no % 2 = 0 then '-' else '' end as l, trim({'substring' if d.spark else 'substr'}(paragraph, 31, 20)) as r from paragraphs) s) t""")
+    (select *, {d.like('l', '[A-Za-z]-$')} and ({d.like('r', '^[A-Z]')} or {words(d, 'r')} <= 2) as joins from {LINES % d.rr('paragraph', '[.!?]+$', '')} s where r is not null) t""")
 both("STR20", lambda d: f"""select page_id, {d.extract('html', '<html lang="([^"]*)"', 1)} as lang, {d.extract('html', '<meta property="og:title" content="([^"]*)"', 1)} as og_title,
     {d.extract('html', '<meta charset="([^"]*)"', 1)} as charset, {d.extract('html', '<meta property="article:author" content="([^"]*)"', 1)} as author, coalesce(nullif({d.extract('html', '<h1>([^<]*)</h1>', 1)}, ''), {d.extract('html', '<title>([^<]*)</title>', 1)}) as title from pages""")
 both("URL5", lambda d: f"""select page_id, case when url like '%arxiv.org/abs/%' then replace(url, '/abs/', '/html/') when url like '%arxiv.org/pdf/%' then {d.rr("replace(url, '/pdf/', '/html/')", '[.]pdf($|[?])', '$1')} else url end as shown,
@@ -144,7 +144,7 @@ both("DML15", lambda d: "select lang, id from (select d.source_language as lang,
 both("DML16", lambda d: "select event_id, row_number() over (partition by user_id order by case when event_type = 'purchase' then 0 else 1 end, ts, event_id) as place from events where ts + interval '1' hour > timestamp '2024-01-20 00:00:00'")
 both("DML19", lambda d: """select n.id, coalesce(a.id, b.id, 900000 + n.notebook) as assigned, a.id is null and b.id is null as created from notes n
     left join notebooks a on a.id = n.notebook and a.id % 3 = 0 left join (select kind, min(id) as id from notebooks group by kind) b on b.kind = n.content""")
-both("DML22", lambda d: "select code, max(cap) as cap, max(note) as note from (select code, cap, plan as note from limits where code <> 1 union all select 1, 2000, 'updated') p group by code")
+both("DML22", lambda d: "select 1 as id, min(ts) as created_at, max_by(ts, event_id) as updated_at, max_by(value, event_id) as cap, max_by(event_type, event_id) as note, count(*) as writes from events where event_type in ('purchase', 'error') having count(*) > 0")
 
 
 def snippets(d: Dialect) -> str:

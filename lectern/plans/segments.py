@@ -159,10 +159,11 @@ STEMS = "연구", "문서를 번역", "결과는 중요", "이 방법이 필요"
 
 
 def korean(d: Dialect) -> str:
-    """Sentences that reach every rule: each stem with each polite ending, and with none."""
+    """Every sentence with a polite ending, and what reaches every rule: each stem with each ending, and with none."""
     endings = [a for a, _ in PLAIN] + ["", " 하십시오", "; 그리고 — 끝났다"]
     values = ", ".join(f"({i}, '{s}')" for i, s in enumerate(STEMS)), ", ".join(f"({i}, '{e}')" for i, e in enumerate(endings))
-    return f"(select s.i * 100 + e.i as id, s.x || e.x as sentence from (values {values[0]}) s(i, x) join (values {values[1]}) e(i, x) on e.i >= 0)"
+    every = f"select -1 - s.i * 100 - e.i as id, s.x || e.x as sentence from (values {values[0]}) s(i, x) join (values {values[1]}) e(i, x) on e.i >= 0"
+    return f"({every} union all select s.id, s.sentence || e.x from sentences s join (values {values[1]}) e(i, x) on e.i = s.id % {len(endings)})"
 
 
 def _plain(d: Dialect) -> str:
@@ -202,9 +203,13 @@ TABLES_HTML = (
 )
 
 
+#: A row of the table that a conversation is shown as.
+TURN_ROW = "('<tr><th>' || role || '</th><td>' || replace(replace(text, '<', ' '), '&', ' ') || '</td></tr>')"
+
+
 def _table_rows(d: Dialect) -> str:
     """(id, row_no, cells) of the first table of every document; rows without a cell are left out."""
-    rows = "(select * from (values " + ", ".join(f"({i}, {d.lit(h)})" for i, h in TABLES_HTML) + ") t(id, html) union all select page_id + 1000, html from pages)"
+    rows = "(select * from (values " + ", ".join(f"({i}, {d.lit(h)})" for i, h in TABLES_HTML) + f") t(id, html) union all select page_id + 1000, html from pages union all select 1000000 + conv_id, '<table>' || {d.string_agg(TURN_ROW, 'turn', '')} || '</table>' from conversations group by conv_id)"
     first = d.extract("html", r"(?is)<table[^>]*>(.*?)</table>", 1)
     found = d.explode("id", f"(select id, {d.all(first, '(?is)<tr[^>]*>(.*?)</tr>', 1)} as trs from {rows} h)", "trs", "tr")
     cells = d.fn(d.all("tr", "(?is)<t[hd][^>]*>(.*?)</t[hd]>", 1), "transform", "c", f"trim({d.rr('c', '<[^>]*>', '')})")

@@ -234,3 +234,16 @@ def test_sentence_queries_agree_with_the_splitter(spark):
     text = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     for doc in (0, 1, 50, 199):
         assert [s for *_, s in sorted(got.get(doc, []))] == [s for s, _ in __import__("lectern.functions.sentences", fromlist=["x"]).cut_sentences(clean_text(text[doc]), "generic")]
+
+
+def test_cutting_an_unclosed_bracket_is_linear():
+    import time
+
+    def took(k):
+        text = "He said (and more. " + "This is a plain sentence of words. " * k
+        start = time.perf_counter()
+        assert len(cut_sentences(text, "generic")) == 1
+        return time.perf_counter() - start
+
+    took(100)
+    assert min(took(8000) for _ in range(3)) < 30 * max(0.002, min(took(1000) for _ in range(3)))
