@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import similarity
 from lectern.functions.anchors import LAST_RESORT, anchored
+from lectern.functions.char_diff import readable, script
 from lectern.functions.sentences import PROFILES, clean_text, cut_sentences, in_open_scope, join_lines, split_sentences
 from lectern.plans.base import SPARK, Dialect, both, with_views
 from lectern.registry import query
@@ -318,3 +319,18 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The anchor of every block."""
     return _anchoring(spark, sf_dir).where("no is null").select("doc_id", "block_no", "start_id", "end_id", "matched", "sentences")
+
+
+@query("STR18")
+def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an answer keeps, lacks and adds: every sentence against what became of it, in readable steps."""
+    steps = {0: "keep", -1: "cut", 1: "put"}
+
+    @F.pandas_udf("array<struct<op:string,text:string>>")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for wanted, given in parts:
+            yield pd.Series([[(steps[op], t) for op, t in readable(script(x, y))] for x, y in zip(wanted, given, strict=True)])
+
+    answers = f"select s.id, s.sentence, e.text as answer from sentences s join ({EDITED}) e on e.no = s.id"
+    rows = view(spark, sf_dir, answers, "documents")
+    return rows.select("id", F.posexplode(run("sentence", "answer")).alias("at", "step")).select("id", (F.col("at") + 1).alias("step_no"), "step.op", "step.text")
