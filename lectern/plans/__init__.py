@@ -1,3 +1,3 @@
 """All queries; importing this registers them."""
 
-from lectern.plans import documents, html, ingest, joins, layout, learning, lines, listing, pages, reading, scalars, segments, streams  # noqa: F401
+from lectern.plans import documents, files, html, ingest, joins, layout, learning, lines, listing, pages, reading, scalars, segments, streams  # noqa: F401

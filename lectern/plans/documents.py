@@ -37,4 +37,3 @@ def exported(d) -> str:
 
 
 both("SRC13", exported)
-both("SNK1", lambda d: "select id, title from docs where created_h > 700")

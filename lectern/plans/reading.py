@@ -49,8 +49,6 @@ FEED = "(select host, feed, " + "{}" + " as xml from (select *, cast(floor(page_
 both("SRC8", lambda d: f"""select host, feed, {d.extract('item', '<title>([^<]*)</title>', 1)} as title, {d.extract('item', '<link>([^<]*)</link>', 1)} as link, {d.extract('item', 'abs/([0-9]+[.][0-9]+)', 1)} as id from """
     + d.explode("host, feed", FEED.format(d.string_agg("'<item><title>' || title || '</title><link>' || replace(replace(url, '<', ''), '&', ';') || '</link><id>abs/' || (1000 + page_id % 9000) || '.' || page_id || '</id></item>'", "page_id", "")), d.all("xml", "<item>.*?</item>"), "item") + " i")
 both("SRC10", lambda d: "select page_id, item_no, item from " + d.explode("page_id", "pages", d.all(d.extract("html", "<ul>(.*?)</ul>", 1), "<li>(?:<a[^>]*>)?([^<]*)", 1), "item") + " i where item_no <= 100")
-both("SNK2", lambda d: """select doc_id, paragraph_no as step, case when length(paragraph) > 5000 then 'paragraph_error' else 'paragraph_complete' end as event from paragraphs
-    union all select doc_id, max(paragraph_no) + 1, case when max(length(paragraph)) > 5000 then 'error' else 'complete' end from paragraphs group by doc_id""")
 both("FLT10", lambda d: "select event_id, user_id, md5(cast(event_id as string)) as token_hash from events where event_type <> 'click' and ts + interval '24' hour > timestamp '2024-01-15 00:00:00'")
 both("FLT17", lambda d: """select n.id, n.notebook, case when n.content is null then 'highlight' else 'note' end as kind from notes n join notebooks b on b.id = n.notebook
     where (n.content is null or n.id % 3 = 0) and (b.kind in ('BUILDING', 'MACHINERY') or n.id % 10 = 0) and lower(coalesce(n.content, '') || ' ' || b.name || ' ' || b.kind) like '%in%'""")
