@@ -139,7 +139,6 @@ both("DML4", lambda d: """select id, notebook, case when original then coalesce(
 both("DML7", lambda d: """select 'events' as part, event_id as id from events where user_id <> 17 union all select 'docs', id from docs where owner <> 17
     union all select 'sentences', s.id from sentences s join docs d on d.id = s.doc_id where d.owner <> 17 union all select 'audit', event_id from events where event_type = 'error'""")
 both("DML15", lambda d: "select lang, id from (select d.source_language as lang, d.id, row_number() over (partition by d.source_language order by length(d.raw_content) desc, d.id) as place from docs d left join labels l on l.doc_id = d.id where l.doc_id is null) r where place = 1")
-both("DML16", lambda d: "select event_id, row_number() over (partition by user_id order by case when event_type = 'purchase' then 0 else 1 end, ts, event_id) as place from events where ts + interval '1' hour > timestamp '2024-01-20 00:00:00'")
 both("DML19", lambda d: """select n.id, coalesce(a.id, b.id, 900000 + n.notebook) as assigned, a.id is null and b.id is null as created from notes n
     left join notebooks a on a.id = n.notebook and a.id % 3 = 0 left join (select kind, min(id) as id from notebooks group by kind) b on b.kind = n.content""")
 both("DML22", lambda d: "select 1 as id, min(ts) as created_at, max_by(ts, event_id) as updated_at, max_by(value, event_id) as cap, max_by(event_type, event_id) as note, count(*) as writes from events where event_type in ('purchase', 'error') having count(*) > 0")

@@ -13,6 +13,7 @@ from lectern.plans.base import ORACLE, Dialect, both, with_views
 from lectern.plans.scalars import normal_url
 from lectern.registry import query
 from lectern.streaming import events as streams
+from lectern.streaming.cache import cached
 
 
 def walk(d: Dialect, table: str, keys: str, start: int, up: int, down: int, least: int, most: int) -> str:
@@ -72,3 +73,26 @@ def stm4(spark, sf_dir):
 @query("STM5", f"select distinct sha256({normal_url(ORACLE)}) as url_hash from pages")
 def stm5(spark, sf_dir):
     return streams.run_once(streams.new_pages(streams.source(spark, sf_dir, "pages")), ["url_hash"], "append")
+
+
+QUEUE = "(select event_id, row_number() over (partition by user_id order by case when event_type = 'purchase' then 0 else 1 end, ts, event_id) as place from events where ts + interval '1' hour > timestamp '2024-01-20 00:00:00')"
+#: What a cache of one hour has for each event of a user, one after the other.
+CACHED = f"""with recursive r as (select user_id, event_id, epoch_ms(ts) as ms, row_number() over (partition by user_id order by epoch_ms(ts), event_id) as k from events),
+    f as (select user_id, event_id, k, ms as put, 'miss' as cache from r where k = 1 union all
+        select r.user_id, r.event_id, r.k, case when r.ms >= f.put + 3600000 then r.ms else f.put end, case when r.ms >= f.put + 3600000 then 'miss' else 'hit' end from f join r on r.user_id = f.user_id and r.k = f.k + 1)
+    select f.event_id, q.place, f.cache from f left join {QUEUE} q on q.event_id = f.event_id"""
+
+
+@query("DML16", CACHED)
+def queue_and_cache(spark, sf_dir):
+    """Every event with its place in its user's queue, urgent ones first, if it is not over, and what the user's cache of one hour has for it."""
+    name, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    events, before = streams.source(spark, sf_dir, "events"), spark.conf.get(name)
+    at = F.expr("timestamp_millis(timestampdiff(millisecond, timestamp_ntz'1970-01-01 00:00:00', ts))")
+    spark.conf.set(name, rocks)  # timers need it
+    try:
+        told = streams.run_once(cached(events.select(F.col("user_id").alias("key"), at.alias("at"), "event_id"), "1 day"), ["event_id"], "append")
+    finally:
+        spark.conf.set(name, before)
+    queue = spark.sql(f"select * from {QUEUE.replace('from events', 'from {events}')}", events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return told.where("event_id is not null").select("event_id", F.col("what").alias("cache")).join(queue, "event_id", "left")
