@@ -45,11 +45,6 @@ def continues(d: Dialect, a: str, b: str) -> str:
         else not ({open_}) and {quotes} % 2 = 0 and {words(d, a)} >= 3 and ({d.like(b, '^[a-z]')} or {d.like(f'lower({b})', GOES_ON)}) end, false)"""
 
 
-NEXT = "(select doc_id, line_no, font, trim(line) as l, lead(trim(line)) over (partition by doc_id order by line_no) as r, lead(font) over (partition by doc_id order by line_no) as next_font, lead(y) over (partition by doc_id, page order by line_no) - y as gap from text_lines)"
-both("PDF4", lambda d: f"select doc_id, line_no, {continues(d, 'l', 'r')} as goes_on from {NEXT} n")
-both("PDF5", lambda d: f"select doc_id, line_no, r is null or (not {continues(d, 'l', 'r')} and (coalesce(gap, 99) > 18 or {d.like('l', ENDED)})) as ends from {NEXT} n")
-both("PDF6", lambda d: f"select doc_id, line_no, l || ' ' || r as merged from {NEXT} n where font = 16 and next_font = 16 and length(l) + length(r) < 120 and not {d.like('l', '[.!?]$')}")
-both("PDF15", lambda d: f"select doc_id, line_no, case when {HEADING(d)} then '## ' || line when y < 40 then '[HEADER] ' || line else line end as markdown from text_lines")
 both("PDF16", lambda d: """select doc_id, page, line_no, row_number() over (partition by doc_id, page order by section, kind, y, line_no) as place from
     (select l.doc_id, l.page, l.line_no, l.y, case when c.two and full_width = 0 then case when x_start < c.boundary then 0 else 1 end when full_width = 1 then 2 else 0 end as kind,
         coalesce(sum(case when c.two then full_width else 0 end) over (partition by l.doc_id, l.page order by l.y, l.line_no rows between unbounded preceding and 1 preceding), 0) as section from

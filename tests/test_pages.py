@@ -269,3 +269,35 @@ def test_definite_headings(spark):
     frame = spark.createDataFrame([(i, t, p) for i, (t, p, _) in enumerate(rows)], "i int, t string, prev string")
     got = {r.i: r.d for r in frame.select("i", F.expr(pages.definite(SPARK)).alias("d")).collect()}
     assert [got[i] for i in range(len(rows))] == [w for *_, w in rows]
+
+
+def test_rules_for_two_lines_say_the_same_in_sql(spark):
+    """The SQL of continuation, paragraph ends, headings and standing lines against the machine's functions, on all lines and on odd pairs."""
+    from lectern.functions.page_blocks import stands_alone
+    from lectern.plans.base import SPARK
+    from lectern.plans.segments import view
+
+    names = {"goes_on": pages.sentence_goes_on, "ends": pages.ends_paragraph, "merges": pages.heading_continues, "stands": pages.standing}
+    rng = random.Random(6)
+    texts = ["A broken-", "It ended.", "as by et al.", "(open one two", "and more", "More words here, and", "2.1", "Results and Discussion", "a-b-c-d", "The river was", "Jane Roe, 2, John Doe", "Abstract of it", "x. Yes", "100 words", "$5 more", '"quoted', "short", f"{WIDE} to", f"{WIDE} far.", "end:)", "w" * 90]
+    kinds = ["paragraph"] * 5 + ["heading", "author", "footnote", "document_title"]
+    odd = []
+    for i in range(1500):
+        a, b, c = (rng.choice(texts) for _ in "abc")
+        odd.append((i, a, rng.choice(kinds), 1, 100.0, rng.choice([72.0, 330.0]), rng.choice([540.0, 300.0]), rng.choice([12.0, 16.0]), b, rng.choice(kinds), rng.choice([1, 1, 2]), 100.0 + rng.choice([14, 25, 30, 100, -300]), rng.choice([72.0, 84.0, 330.0]), rng.choice([12.0, 16.0]), rng.choice([c, None]), rng.choice(["journal", "arxiv", "essay_academic"])))
+    columns = "line_no long, t string, class string, page int, y double, x double, x_end double, font double, r string, r_class string, r_page int, r_y double, r_x double, r_font double, b string, profile string"
+    made = spark.createDataFrame(odd, columns).selectExpr("*", "12d as body_font", "14.4d as line_gap", "468d as body_width")
+    real = view(spark, "/root/testdata/sf0.001", f"select * from {pages.around(SPARK)} n", "documents")
+    for frame in (made, real.select(made.columns)):
+        for r in frame.select("*", *(F.expr(f(SPARK)).alias(k) for k, f in names.items())).collect():
+            line = Line(r.t, r["class"], r.page, r.y, r.x, r.x_end, r.font)
+            after = None if r.r is None else Line(r.r, r.r_class, r.r_page, r.r_y, r.r_x, r.x_end, r.r_font)
+            before = None if r.b is None else Line(r.b, "paragraph", 1, 0.0, 0.0, 0.0, 12.0)
+            s = Stats(r.body_font, r.line_gap, r.body_width)
+            want = after is not None and goes_on(line, r["class"], after, r.r_class), paragraph_ends(line, r["class"], after, r.r_class, s, r.profile, False), after is not None and heading_goes_on(line, after, s), stands_alone(line, before, after, s)
+            assert (r.goes_on, r.ends, r.merges, r.stands) == tuple(map(bool, want)), r
+
+
+def test_markdown(spark):
+    frame = evidence(spark, a=[("document_title", "T"), ("author", "A"), ("heading", "H"), ("paragraph", "p"), ("abstract_body", "b")])
+    assert pages.markdown(frame).first().markdown == "T\n\n[AUTHOR] A\n\n\n## H\n\np\n\nb"
