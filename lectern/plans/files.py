@@ -13,7 +13,7 @@ from lectern.registry import query
 from lectern.sources.inserts import Inserts
 from lectern.sources.page_lines import PageLines
 from lectern.storage import shared_dir
-from lectern.streaming.events import source
+from lectern.streaming import events as streams
 from lectern.streaming.progress import EventSink, events
 
 BOX = "(select distinct doc_id, page from text_lines where doc_id % 3 = 0)"
@@ -59,6 +59,6 @@ PROGRESS = """select doc_id, paragraph_no as step, case when length(paragraph) >
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of all documents, through a stream into the event sink."""
     sink = EventSink(f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}")
-    sink.run(events(source(spark, sf_dir, "documents").select("doc_id", "text")))
+    sink.run(events(streams.source(spark, sf_dir, "documents").select("doc_id", "text")))
     return spark.read.parquet(f"{sink.path}/events").select("doc_id", "step", "event")
 

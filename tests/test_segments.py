@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import similarity
-from lectern.functions.sentences import clean_text, in_open_scope, join_lines, split_sentences
+from lectern.functions.sentences import clean_text, cut_sentences, in_open_scope, join_lines, split_sentences
 from lectern.plans import segments
 
 
