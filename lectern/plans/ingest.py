@@ -34,6 +34,7 @@ def pieces(d) -> str:
     plain = d.rr(d.rr("text", r"\s+", " "), r"(^|[^A-Za-z0-9_])((?i:et al|vs|cf|etc))\.", "$1$2●")
     papers = d.split(d.rr(f"trim({plain})", r"([.!?])\s+([A-Z])", "$1¶¶$2"), "¶¶")
     papers = d.fn(papers, "transform", "p", "trim(replace(p, '●', '.'))")
+    # What captions and unwanted paragraphs look like.
     captions = r"^(?i:Figure|Table|Equation|Algorithm|Fig\.|Tab\.|Ref\.|References|Bibliography|Acknowledgments)"
     unwanted = (captions, r"^[0-9.)\]]+\s", r"^[A-Z\s0-9.\-]{15,}$", r"^\s*[\[(].*[\])]\s*$", r"^(?i:Abstract|Introduction|Conclusion|Discussion|Method|Results|Related Work)$")
     papers = d.fn(papers, "filter", "p", "length(p) > 15 and length(p) < 800 and " + d.size(d.split("p", " ")) + " >= 3 and " + " and ".join(f"not {d.like('p', u)}" for u in unwanted))

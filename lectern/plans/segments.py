@@ -181,6 +181,7 @@ both("STR11", _plain)
 STORED = """(select t.id, t.source, nullif(nullif(case t.id % 4 when 0 then '[]' when 1 then 'none' else '[{}]' end, 'none'), '') as blocks, nullif(t.id % 5, 4) as version,
     nullif(t.id % 3, 0) as anchors, case when t.id % 7 = 3 then 'pending' else 'completed' end as state, case when t.id % 6 = 1 then t.id % 40 end as feed,
     case t.id % 8 when 1 then 'html' when 2 then 'text' end as kind from docs t)"""
+# The messages of the repair check.
 BROKEN = {
     "missing structuredContent": "blocks is null",
     "empty structuredContent": "blocks = '[]'",
