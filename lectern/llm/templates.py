@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batched, window_hashes, written
+from .common import Words, batched, sliced, window_hashes, written
 
 WIDTH, SHORTEST, LITERALS = 13, 5, 4
 #: Benchmark windows up to which their hashes and rows are broadcast (8 bytes each hash); beyond, the join shuffles.
@@ -137,7 +137,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = known.value
-        for batch in batches:
+        for batch in sliced(batches):
             tokens, out = Tokens(batch.column(1)), []
             for w in widths:
                 told = np.zeros((len(FORMS), len(tokens.ids)), np.int64)  # a window that is alike in two forms is given once

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batched, columns_but, packed, written
+from .common import Words, batched, columns_but, packed, sliced, written
 
 LETTERS, DECAY, PART, SHARP = 4, 0.95, 0.15, 2
 #: Labelled documents of each class, and candidate words of each class, that a fit takes at most.
@@ -307,9 +307,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = shared.value, {}
-        for batch in batches:
+        for batch in sliced(batches):
             pieces, which, text = pieces_of(batch.column(1))
-            if len(memo) > 500_000:
+            if len(memo) > 200_000:
                 memo.clear()
             new = [w for w in pieces if w not in memo]
             memo.update(zip(new, model.values(new).tolist(), strict=True))
