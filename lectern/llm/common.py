@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,12 +59,19 @@ def batched(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Gives memory that is free back to the system: a Python worker lives on after its task and would keep it beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of ``rows``, for work that needs many times the memory of its texts; what Arrow held goes back at the end."""
+    """The batches in slices of ``rows``, for work that needs many times the memory of its texts; free memory goes back at the end."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def columns_but(df: DataFrame, *names: str) -> list[str]:

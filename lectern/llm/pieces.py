@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PairTable, batched, mixed, stretches
+from .common import PairTable, batched, give_back, mixed, stretches
 
 SPACE = "▁"
 MARKS = ",.;:!?$%&*#|"
@@ -47,6 +47,19 @@ def _drawn(key: np.ndarray, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
         return x ^ x >> np.uint64(13)
 
 
+def spellings(model) -> list[bytes]:
+    """The bytes of every piece of a loaded model; none of control pieces."""
+    n = range(model.get_piece_size())
+    quiet = {i for i in n if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
+    return [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" if i in quiet else model.id_to_piece(i).replace(SPACE, " ").encode() for i in n]
+
+
+def spelled_out(ids: list[int], spelled: list[bytes]) -> str:
+    """The text of ids; ids of control pieces give nothing."""
+    out = b"".join(map(spelled.__getitem__, ids))
+    return (out[1:] if out[:1] == b" " else out).decode("utf-8", "surrogatepass")
+
+
 class PieceCodec:
     """A SentencePiece BPE model with byte pieces; ``rate`` in [0, 1): the share of candidate merges skipped."""
 
@@ -62,9 +75,7 @@ class PieceCodec:
         self.bytes = {i: bytes([int(self.pieces[i][3:5], 16)]) for i in range(n) if model.is_byte(i)}
         self.byte_ids = {b[0]: i for i, b in self.bytes.items()}
         odd = set(self.bytes) | {i for i in range(n) if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
-        self.spelled = [
-            self.bytes[i] if i in self.bytes else b"" if i in odd else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)
-        ]
+        self.spelled = spellings(model)
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in odd}
         self.names = sorted(self.ids, key=lambda p: (-model.get_score(self.ids[p]), self.ids[p]))  # by rank
         joins = {p[i - 1 : i + 1] for p in self.ids for i in range(1, len(p))}
@@ -327,9 +338,7 @@ class PieceCodec:
         return b"".join(array("i", self.segment(r.replace(" ", SPACE), k)).tobytes() for r, k in zip(runs, own, strict=True))
 
     def decode(self, ids: list[int]) -> str:
-        """The text; ids of control pieces give nothing."""
-        out = b"".join(map(self.spelled.__getitem__, ids))
-        return (out[1:] if out[:1] == b" " else out).decode("utf-8", "surrogatepass")
+        return spelled_out(ids, self.spelled)
 
 
 def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,6 +357,8 @@ def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 0, id_col
             ends = np.cumsum([0, *map(len, coded)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
+        del codec
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, ids array<int>")
@@ -358,10 +369,13 @@ def decode(coded: DataFrame, model: str) -> DataFrame:
     batched(coded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model)
+        import sentencepiece
+
+        spelled = spellings(sentencepiece.SentencePieceProcessor(model_file=model))
         for batch in batches:
             flat, at = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
-            text = [codec.decode(flat[a:b].tolist()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            text = [spelled_out(flat[a:b].tolist(), spelled) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*batch.schema.names, "text"])
+        give_back()
 
     return coded.select("id", "ids").mapInArrow(run, "id long, ids array<int>, text string")
