@@ -22,3 +22,15 @@ def test_ids_of_many_documents(spark, texts):
     got = QUERIES["LRN12"](spark, texts([(i, "Some words.") for i in docs])).collect()
     assert [r.level for r in got] == ["easy"] * 10
     assert sorted(r.id for r in got) == sorted(sorted(ids, key=lambda i: ((i * 7919 + 101) % 10007, i))[:10])
+
+
+def test_long_lines_of_words(spark, texts):
+    """PDF1, PDF3 and PDF4-6: a line of 40,000 words, in small letters and with capitals, is a paragraph like another, and none goes down the stack."""
+    folder = texts([(1, "\n".join(["Some Title of a Text", "reerwh " * 40_000, "Anna Miller, Ben Jones", "Reerwh " * 40_000, "1" + ".1" * 40_000, "a" + "-a" * 40_000, "The end."]))])
+    classes = {(r.line_no, r.profile): r["class"] for r in QUERIES["PDF1"](spark, folder).collect()}
+    assert len(classes) == 21 and {classes[2, p] for p in ("journal", "arxiv", "essay_academic")} == {"paragraph"}
+    assert {r.line_no: r["class"] for r in QUERIES["PDF3"](spark, folder).collect()}[2] == "paragraph"
+    assert [QUERIES[q](spark, folder).count() for q in ("PDF4", "PDF5")] == [21, 21]
+    stands = {(r.line_no, r.profile): r.stands for r in QUERIES["PDF6"](spark, folder).collect()}
+    assert not stands[2, "journal"] and not stands[7, "journal"]
+    assert QUERIES["PDF7"](spark, folder).count() > 0
