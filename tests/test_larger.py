@@ -1,8 +1,10 @@
 """What larger tables bring: ids beyond those of the given tables, and very long lines."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern import plans  # noqa: F401
+from lectern.plans.segments import SLICE, _per_row
 from lectern.registry import QUERIES
 
 
@@ -34,3 +36,16 @@ def test_long_lines_of_words(spark, texts):
     stands = {(r.line_no, r.profile): r.stands for r in QUERIES["PDF6"](spark, folder).collect()}
     assert not stands[2, "journal"] and not stands[7, "journal"]
     assert QUERIES["PDF7"](spark, folder).count() > 0
+
+
+def test_few_rows_are_texts_at_a_time(spark):
+    """SEG2-4, SEG7-11, STR18: of a batch of rows no more than a slice has results that are not yet handed on."""
+
+    def make(x):
+        import gc
+
+        return f"{x},{sum(type(o) is list and len(o) > SLICE and all(type(s) is str and s.endswith('!') for s in o) for o in gc.get_objects())}"
+
+    rows = spark.range(0, 3000, 1, 1).select("id", F.concat(F.col("id").cast("string"), F.lit("!")).alias("x"))
+    got = {r.id: r.out for r in _per_row(rows, ["id"], ["x"], make, "string").collect()}
+    assert got == {i: f"{i}!,0" for i in range(3000)}
