@@ -1,6 +1,6 @@
-"""Likeness of two texts, as SQL expressions that stay inside the JVM.
+"""Likeness of two texts, as SQL expressions that stay inside the JVM, but for ``lcs``, a helper for one row.
 
-Each function takes names of columns and gives an expression; texts are split at white space.
+Each other function takes names of columns and gives an expression; texts are split at white space.
 """
 
 from __future__ import annotations
@@ -12,11 +12,30 @@ def tokens(x: str) -> str:
     return rf"split({x}, '\\s+')"
 
 
-def token_lcs(x: str, y: str) -> str:
-    """Longest common subsequence of the tokens, over their mean number: rows of the usual table, one token of ``x`` each."""
+def lcs(a: list[str] | None, b: list[str] | None) -> int | None:
+    """Length of the longest common subsequence of two lists, a row of the usual table in the bits of one number."""
+    if a is None or b is None:
+        return None
+    at: dict[str, int] = {}
+    for i, t in enumerate(a):
+        at[t] = at.get(t, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row = every  # a zero for each place where the length grows
+    for t in b:
+        if t in at:
+            met = row & at[t]
+            row = (row + met | row - met) & every
+    return len(a) - row.bit_count()
+
+
+def token_lcs(x: str, y: str, common: str | None = None) -> str:
+    """Longest common subsequence of the tokens, over their mean number.
+
+    ``common``: a column that has its length by ``lcs``, as texts of any length need; without it rows of the usual table, one token of ``x`` each.
+    """
     row = "aggregate(sequence(1, size(b)), array(0), (new, j) -> concat(new, array(if(t = b[j - 1], old[j - 1] + 1, greatest(old[j], new[j - 1])))))"
     table = f"aggregate(a, array_repeat(0, size(b) + 1), (old, t) -> {row}, last -> element_at(last, -1))"
-    body = f"{table} * 2e0 / (size(a) + size(b))"
+    body = f"{common or table} * 2e0 / (size(a) + size(b))"
     return _with(body, x, y)
 
 
@@ -49,9 +68,9 @@ def fuzzy(x: str, y: str) -> str:
     return f"case when {x} = '' or {y} = '' then 0e0 when {x} = {y} then 1e0 else {_with(body, x, y)} end"
 
 
-def advanced(x: str, y: str) -> str:
+def advanced(x: str, y: str, common: str | None = None) -> str:
     """Token order, edit distance, shared tokens and fuzzy tokens, weighted by mean length: under 20, under 60, and from there."""
-    t, c, j, f = token_lcs(x, y), characters(x, y), jaccard(x, y), fuzzy(x, y)
+    t, c, j, f = token_lcs(x, y, common), characters(x, y), jaccard(x, y), fuzzy(x, y)
     mean = f"(length({x}) + length({y})) / 2e0"
     body = f"""case when m < 20 then greatest(c * 0.4e0 + t * 0.3e0 + j * 0.2e0 + f * 0.1e0, c, t)
         when m < 60 then greatest(t * 0.4e0 + c * 0.3e0 + j * 0.2e0 + f * 0.1e0, t, c) else greatest(t * 0.5e0 + j * 0.3e0 + c * 0.1e0 + f * 0.1e0, t) end"""

@@ -147,19 +147,24 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.col("at") + 1).alias("block_no"), "block.kind", "block.content")
 
 
-def _pairs(name: str, measure, doc: str) -> None:
+def _pairs(name: str, measure, doc: str, common: bool = False) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.col("text").alias("x"))
         after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y"))
-        return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.expr(measure("x", "y")).alias("similarity"))
+        pairs = turns.join(after, ["conv_id", "turn"])
+        if not common:
+            return pairs.select("conv_id", "turn", F.expr(measure("x", "y")).alias("similarity"))
+        words = pairs.select("*", F.expr(similarity.tokens("x")).alias("xs"), F.expr(similarity.tokens("y")).alias("ys"))
+        counted = _per_row(words.select("conv_id", "turn", "x", "y", "xs", "ys"), ["conv_id", "turn", "x", "y"], ["xs", "ys"], similarity.lcs, "int").withColumnRenamed("out", "common")
+        return counted.select("conv_id", "turn", F.expr(measure("x", "y", "common")).alias("similarity"))
 
     run.__name__, run.__doc__ = name.lower(), doc
     query(name)(run)
 
 
-_pairs("MTH5", similarity.token_lcs, "Consecutive turns by their longest common subsequence of tokens.")
+_pairs("MTH5", similarity.token_lcs, "Consecutive turns by their longest common subsequence of tokens.", common=True)
 _pairs("MTH7", similarity.fuzzy, "Consecutive turns by tokens that are nearly equal.")
-_pairs("MTH8", similarity.advanced, "Consecutive turns by four measures weighted by length.")
+_pairs("MTH8", similarity.advanced, "Consecutive turns by four measures weighted by length.", common=True)
 
 # Polite Korean endings and their plain forms, applied in this order.
 PLAIN = (
