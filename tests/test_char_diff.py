@@ -1,7 +1,9 @@
 """Character differences against a dynamic programme and by hand."""
 
 import random
+import time
 
+from lectern.functions import char_diff
 from lectern.functions.char_diff import CUT, KEEP, PUT, readable, script
 
 
@@ -49,3 +51,20 @@ def test_clean_up_by_hand():
     assert readable([(CUT, "ab"), (PUT, "cd"), (KEEP, "12"), (CUT, "e")]) == [(CUT, "ab"), (PUT, "cd"), (KEEP, "12"), (CUT, "e")]
     assert readable([(CUT, "abc"), (KEEP, "b"), (CUT, "xy")]) == [(CUT, "abcbxy"), (PUT, "b")]
     assert told("one two three", "one too three") == [(KEEP, "one t"), (CUT, "w"), (PUT, "o"), (KEEP, "o three")]
+
+
+def test_all_diagonals_at_once_give_the_same_script(monkeypatch):
+    """STR18: beyond a number of steps the search takes a step's diagonals together, so that a long sentence in capitals ends; nothing else changes."""
+    rng = random.Random(11)
+    for _ in range(200):
+        a = "".join(rng.choice("abcd EF") for _ in range(rng.randrange(120)))
+        b = a[: len(a) // 2].upper() + a[len(a) // 2 + rng.randrange(4) :]
+        monkeypatch.setattr(char_diff, "FEW", 1000)
+        one = script(a, b)
+        monkeypatch.setattr(char_diff, "FEW", rng.randrange(1, 9))
+        assert script(a, b) == one
+    monkeypatch.undo()
+    a = "The river Runs slowly to the Sea, " * 150
+    began = time.monotonic()
+    ops = readable(script(a, a.upper()))
+    assert sides(ops) == (a, a.upper()) and time.monotonic() - began < 15
