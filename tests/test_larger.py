@@ -67,3 +67,16 @@ def test_long_common_subsequences(spark, tmp_path):
     began = time.monotonic()
     got = {r.conv_id: r.similarity for r in QUERIES["MTH5"](spark, str(tmp_path)).collect()}
     assert got == {1: similarity.lcs(a, b) / 4000, 2: 2 * 2 / 6} and time.monotonic() - began < 60
+
+
+def test_lines_are_not_joined_by_patterns(spark):
+    """PDF1 and what reads its classes: a join sorts by columns, as a pattern in its key runs for every comparison; a second reading reads its documents alone."""
+    from lectern.plans import pages
+
+    folder = "/root/testdata/sf0.001"
+    plan = QUERIES["PDF7"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and not [x for x in plan.splitlines() if "Join" in x and "regexp_replace" in x]
+    only = spark.createDataFrame([(3,), (8,)], "doc_id bigint")
+    every, some = pages.lines_of(spark, folder), pages.lines_of(spark, folder, only=only)
+    ours = [sorted(map(str, rows.collect())) for rows in (every.join(only, "doc_id", "left_semi").select(every.columns), some.select(every.columns))]
+    assert ours[0] and ours[0] == ours[1]
