@@ -22,6 +22,7 @@ from lectern.functions.char_diff import readable, script
 from lectern.functions.sentences import PROFILES, clean_text, cut_sentences, in_open_scope, join_lines, split_sentences
 from lectern.plans.base import SPARK, Dialect, both, with_views
 from lectern.registry import query
+from lectern.storage import kept
 
 UNITS = "array<struct<sentence:string,type:string>>"
 #: The archetype of a document's category.
@@ -297,8 +298,10 @@ def anchoring(blocks: DataFrame, stored: DataFrame) -> DataFrame:
     def normed(rows: DataFrame) -> DataFrame:
         return rows.where("doc_id is not null and text is not null").withColumn("norm", F.expr(normal(SPARK, "text")))
 
-    ours = normed(blocks.where("block_no is not null and no is not null")).withColumn("least", F.expr(threshold("text")))
-    theirs = normed(stored).groupBy("doc_id", "norm").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("key", F.col("ids")[0])
+    # both are read several times below, and the patterns of a normal form run once
+    asking = normed(blocks.where("block_no is not null and no is not null")).select("doc_id", "block_no", "no", "norm", F.expr(threshold("text")).alias("least"))
+    ours = kept(asking, "asking")
+    theirs = kept(normed(stored).groupBy("doc_id", "norm").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("key", F.col("ids")[0]), "forms")
     alike = candidates(ours, theirs, LAST_RESORT).groupBy("doc_id", "norm").agg(F.sort_array(F.collect_list(F.struct("likeness", "key")), asc=False).alias("alike"))
     equal = theirs.select("doc_id", "norm", "key")
     asked = ours.join(equal, ["doc_id", "norm"], "left").join(alike, ["doc_id", "norm"], "left")

@@ -80,3 +80,15 @@ def test_lines_are_not_joined_by_patterns(spark):
     every, some = pages.lines_of(spark, folder), pages.lines_of(spark, folder, only=only)
     ours = [sorted(map(str, rows.collect())) for rows in (every.join(only, "doc_id", "left_semi").select(every.columns), some.select(every.columns))]
     assert ours[0] and ours[0] == ours[1]
+
+
+def test_normal_forms_are_made_once(spark):
+    """ANC1 and JN26: what the joins read is stored with its normal form, so no pattern runs again; the form drops all signs that the SQL drops."""
+    from lectern.plans import scalars
+    from lectern.plans.base import ORACLE, SPARK
+
+    plan = QUERIES["JN26"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
+    signs = [(f"A{chr(i)}B {chr(i) * 2} c",) for i in (*range(1, 0x3100), 0xABFF, 0xAC00, 0xD7A3, 0xD7A4, 0xFEFF, 0xFFFD, 0x1F600) if not 0xD800 <= i <= 0xDFFF]
+    theirs = scalars.normal(ORACLE, "t").replace("\\", "\\\\").replace(", 'g')", ")")
+    assert spark.createDataFrame(signs, "t string").selectExpr(f"count_if({scalars.normal(SPARK, 't')} <> {theirs}) as n").first().n == 0
