@@ -51,9 +51,10 @@ def jaccard(x: str, y: str) -> str:
 
 def light(x: str, y: str) -> str:
     """Shared tokens, or six tenths of them and four of the tokens met in lock-step; equal texts 1, an empty one 0."""
-    met = "aggregate(a, 0, (j, t) -> if(j < size(b) and t = b[j], j + 1, j))"
-    share = "size(array_intersect(a, b)) * 1e0 / size(array_union(a, b))"
-    body = f"if(size(a) = 0 or size(b) = 0, if(size(a) = size(b), 1e0, 0e0), greatest({share}, 0.6e0 * {share} + 0.4e0 * {met} / greatest(size(a), size(b))))"
+    met = "if(array_contains(a, b[0]), aggregate(a, 0, (j, t) -> if(j < size(b) and t = b[j], j + 1, j)), 0)"
+    counts = "array(struct(size(array_intersect(a, b)) as i, size(array_union(a, b)) as u))"
+    one = f"transform({counts}, s -> greatest(s.i * 1e0 / s.u, 0.6e0 * s.i * 1e0 / s.u + 0.4e0 * {met} / greatest(size(a), size(b))))[0]"
+    body = f"if(size(a) = 0 or size(b) = 0, if(size(a) = size(b), 1e0, 0e0), {one})"
     return f"case when {x} = '' or {y} = '' then 0e0 when {x} = {y} then 1e0 else {_with(body, x, y, 'filter({}, w -> w <> ' + chr(39) * 2 + ')')} end"
 
 

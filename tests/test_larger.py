@@ -92,3 +92,12 @@ def test_normal_forms_are_made_once(spark):
     signs = [(f"A{chr(i)}B {chr(i) * 2} c",) for i in (*range(1, 0x3100), 0xABFF, 0xAC00, 0xD7A3, 0xD7A4, 0xFEFF, 0xFFFD, 0x1F600) if not 0xD800 <= i <= 0xDFFF]
     theirs = scalars.normal(ORACLE, "t").replace("\\", "\\\\").replace(", 'g')", ")")
     assert spark.createDataFrame(signs, "t string").selectExpr(f"count_if({scalars.normal(SPARK, 't')} <> {theirs}) as n").first().n == 0
+
+
+def test_shared_tokens_are_counted_once(spark):
+    """ANC1 and JN26: a likeness counts the shared tokens of a pair once, and walks the tokens only where the first one is there at all."""
+    told = similarity.light("x", "y")
+    assert told.count("array_intersect") == told.count("array_union") == 1
+    pairs = spark.createDataFrame([("a b c", "a c d"), ("b c", "a b c"), ("a", "b"), ("", "a"), ("a b", "a b"), ("a a b", "a b b")], "x string, y string")
+    got = [r.s for r in pairs.select(F.expr(told).alias("s")).collect()]
+    assert got == pytest.approx([max(0.5, 0.3 + 0.4 * 2 / 3), 2 / 3, 0, 0, 1, 1])
