@@ -68,7 +68,8 @@ class ChunkEncoder:
     """``Tokenizer.encode`` of whole texts, each distinct run between ASCII white space encoded once.
 
     Exact where the tokenizer drops white space and no token spans it, as with ``word_bpe_49k.json``.
-    The memo is emptied when it holds ``most`` runs.
+    The memo is emptied when it holds ``most`` runs.  New runs go to the library as one text with ``mark``, a special token, between two;
+    where the tokenizer has none that parts texts, or a run holds it, they go one by one.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -77,6 +78,30 @@ class ChunkEncoder:
 
         self.tokenizer, self.most, self.memo = Tokenizer.from_file(path), most, {}
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.mark = self._mark()
+
+    def _mark(self) -> tuple[str, int] | None:
+        """The text and id of a special token that parts two texts: found as it stands, and in no text that another token's end or start and its own make."""
+        added = self.tokenizer.get_added_tokens_decoder()
+        apart = lambda a, b: not any(a.endswith(b[:n]) for n in range(1, min(len(a), len(b) - 1) + 1))
+        alone = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
+        for number, t in added.items():
+            plain = t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)
+            if plain and all(apart(o.content, t.content) and apart(t.content, o.content) for o in added.values()):
+                if all(alone(f"{x}{t.content}{y}") == [*alone(x), number, *alone(y)] for x in ("ab", ".", "é1") for y in ("ab", ".", "é1")):
+                    return t.content, number
+        return None
+
+    def _coded(self, runs: list[str]) -> list[bytes]:
+        """The ids of each run."""
+        if self.mark:
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark[0].join(runs)], add_special_tokens=False)[0].ids, self.dtype)
+            at = np.flatnonzero(ids == self.mark[1])
+            if len(at) == len(runs) - 1:
+                flat, size = ids.tobytes(), self.dtype.itemsize
+                ends = [*(at * size).tolist(), len(flat)]
+                return [flat[a:b] for a, b in zip([0, *((at + 1) * size).tolist()], ends, strict=True)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's start (one more at the end)."""
@@ -88,8 +113,7 @@ class ChunkEncoder:
         new = [w for w in uniq if w not in memo]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, self.dtype).tobytes()
+            memo.update(zip(part, self._coded(part), strict=True))
         coded = [memo[w] for w in uniq]
         flat = np.frombuffer(b"".join(coded), self.dtype)
         sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // self.dtype.itemsize
