@@ -8,9 +8,10 @@ Candidates come from two kinds of buckets, and each is then verified on the whol
 * MinHash: ``BANDS`` keys of ``ROWS`` minima each.  Two texts of similarity s share a key with
   probability 1 - (1 - s**5)**20: 0.9996 at 0.8, more above.
 
-Texts of equal shingle sets are folded into one before.  In a bucket every member meets the ``NEXT``
-after it in an order that the bucket's key shuffles: all pairs of up to ``NEXT + 1`` members, and
-for larger buckets a count that grows with the members, other ones in every bucket.
+Texts of equal shingle sets are folded into one before.  In a bucket every member meets first the ``NEXT``
+after it in an order that the bucket's key shuffles: all pairs of up to ``NEXT + 1`` members.  In larger buckets
+every two members that the links so far leave in different groups meet then, if the sizes of their sets allow the
+similarity at all.  A link inside a group changes no group, so the groups are those of all pairs of every bucket.
 """
 
 from __future__ import annotations
@@ -70,22 +71,68 @@ def band_keys(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _pairs(buckets: DataFrame, *more: str) -> DataFrame:
-    """(a, b) and ``more`` as a struct of each, a < b: members ``sig`` of one bucket ``key`` that meet."""
+def _met(buckets: DataFrame, *more: str) -> DataFrame:
+    """(key, place, x, near): members (``sig`` and ``more``) of each bucket ``key`` behind its first, and those up to ``NEXT`` before them."""
     order = Window.partitionBy("key").orderBy(F.xxhash64("sig", "key"), "sig")
     member = F.struct("sig", *more)
-    met = buckets.select(member.alias("x"), F.array_compact(F.array(*(F.lag(member, i).over(order) for i in range(1, NEXT + 1)))).alias("near"))
-    met = met.where(F.size("near") > 0).select("x", F.explode("near").alias("y")).where("x.sig <> y.sig")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    near = F.array_compact(F.array(*(F.lag(member, i).over(order) for i in range(1, NEXT + 1))))
+    return buckets.select("key", F.row_number().over(order).alias("place"), member.alias("x"), near.alias("near")).where("place > 1")
+
 
+def _paired(met: DataFrame) -> DataFrame:
+    """(a, b), a < b: a member and each of those before it."""
+    pairs = met.select("x", F.explode("near").alias("y")).where("x.sig <> y.sig")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
-def candidates(firsts: DataFrame) -> DataFrame:
-    """(a, b), a < b: the sets ``sig`` of ``firsts`` (sig, fp, keys) that meet in a bucket."""
-    banded = _pairs(firsts.select("sig", F.explode("keys").alias("key"))).select("a.sig", F.col("b.sig").alias("other"))
+
+def _pairs(buckets: DataFrame, *more: str) -> DataFrame:
+    """(a, b) and ``more`` as a struct of each, a < b: members ``sig`` of one bucket ``key`` that meet."""
+    return _paired(_met(buckets, *more))
+
+
+def buckets(firsts: DataFrame) -> DataFrame:
+    """(key, sig, fp): the buckets of the sets ``sig`` of ``firsts`` (sig, fp, keys); in those by MinHash fp is null, as it decides nothing there."""
     variants = "flatten(transform(array(fp & 4294967295L, shiftrightunsigned(fp, 32)), (h, k) -> transform(sequence(-1, 31), i -> xxhash64(k, if(i < 0, h, h ^ shiftleft(1L, i))))))"
-    ball = _pairs(firsts.where("size(keys) > 0").select("sig", "fp", F.explode(F.expr(variants)).alias("key")), "fp")
-    ball = ball.where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS).select("a.sig", F.col("b.sig").alias("other"))
-    return banded.unionByName(ball).distinct().toDF("a", "b")
+    banded = firsts.select(F.explode("keys").alias("key"), "sig", F.lit(None).cast("long").alias("fp"))
+    return banded.unionByName(firsts.where("size(keys) > 0").select(F.explode(F.expr(variants)).alias("key"), "sig", "fp"))
+
+
+#: Two members of a bucket by SimHash are at most ``RADIUS`` bits apart; of one by MinHash nothing is asked.
+WITHIN = f"coalesce(bit_count(a.fp ^ b.fp) <= {RADIUS}, true)"
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """(a, b), a < b: the sets that meet first in a bucket."""
+    return _paired(met).where(WITHIN).select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).distinct()
+
+
+def unmet(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, sig, fp, component): the members of buckets of more than ``NEXT + 1`` that are not all in one of the ``groups`` (vertex, component)."""
+    large = met.where(F.col("place") > NEXT + 1).select("key").distinct()
+    members = met.where("place > 2").select("key", "x").unionByName(met.where("place = 2").select("key", F.explode(F.array("x", F.col("near")[0])).alias("x")))
+    members = members.join(large, "key", "left_semi").select("key", "x.*").distinct()
+    placed = members.join(groups.withColumnRenamed("vertex", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    several = placed.groupBy("key").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("key")
+    return placed.join(several, "key", "left_semi").select("key", "sig", "fp", "component")
+
+
+def shared_sizes(held: DataFrame) -> DataFrame:
+    """(sig, n, k): the size of each set of ``held`` (sig, hashes), and how many of its hashes another of the sets has too."""
+    counts = held.dropDuplicates(["sig"]).select("sig", F.explode("hashes").alias("hash"))
+    often = counts.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", F.lit(1).alias("often"))
+    return counts.join(often, "hash", "left").groupBy("sig").agg(F.count("*").alias("n"), F.count("often").alias("k"))
+
+
+def others(members: DataFrame, sizes: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: the sets of one bucket of ``members`` that are in different components, were not ``tried`` and may be alike.
+
+    Two sets have no more in common than the lesser ``k`` of ``sizes``, so a pair for which that is too little is left out.
+    """
+    placed = members.join(sizes.where(F.col("k") >= similarity * F.col("n")), "sig")
+    most = F.least("a.k", "b.k")
+    alike = most >= similarity * (F.col("a.n") + F.col("b.n") - most)
+    apart = placed.alias("a").join(placed.alias("b"), (F.col("a.key") == F.col("b.key")) & F.expr(f"a.sig < b.sig and a.component <> b.component and {WITHIN}") & alike)
+    return apart.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -121,14 +168,28 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 held.append(common >= similarity * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(held, pa.bool_())) for i in range(2)], ["a", "b"])
 
+    def sets_of(members: DataFrame) -> DataFrame:
+        """(sig, hashes) of the sets ``sig`` of ``members``."""
+        needed = firsts.join(members.select("sig").distinct(), "sig", "left_semi").select(F.col("first").alias("id"))
+        return written(rows.join(needed.distinct(), "id", "left_semi").select("id", "text").mapInArrow(sets, "sig long, hashes array<long>"), "sets")
+
+    def linked(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        """The pairs that are alike, as verified on the whole sets."""
+        sides = [held.select(F.col("sig").alias(s), F.col("hashes").alias(f"of_{s}")) for s in "ab"]
+        return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "of_a", "of_b").mapInArrow(verified, "a long, b long")
+
     marked = written(rows.mapInArrow(sketch, "id long, sig long, fp long, keys array<long>"), "sketches")
     firsts = written(marked.groupBy("sig").agg(F.min("id").alias("first"), F.min_by("fp", "id").alias("fp"), F.min_by("keys", "id").alias("keys")), "firsts")
-    pairs = written(candidates(firsts), "candidates")
-    needed = firsts.join(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig", "left_semi").select(F.col("first").alias("id"))
-    held = written(rows.join(needed.distinct(), "id", "left_semi").select("id", "text").mapInArrow(sets, "sig long, hashes array<long>"), "sets")
-    sides = [held.select(F.col("sig").alias(s), F.col("hashes").alias(f"of_{s}")) for s in "ab"]
-    links = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "of_a", "of_b").mapInArrow(verified, "a long, b long")
+    met = written(_met(buckets(firsts), "fp"), "met")
+    pairs = written(candidates(met), "candidates")
+    links = written(linked(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sig")))), "links")
     groups = connected_components(links)
+    members = written(unmet(met, groups), "unmet")
+    if members.limit(1).count():
+        held = sets_of(members)
+        rest = written(others(members, written(shared_sizes(held), "sizes"), pairs, similarity), "others")
+        if rest.limit(1).count():
+            groups = connected_components(links.unionByName(written(linked(rest, held), "links")))
     by_group = firsts.join(groups, firsts.sig == groups.vertex).select("sig", "component", "first")
     least = by_group.groupBy("component").agg(F.min("first").alias("component_id"))
     joined = by_group.join(least, "component").select("sig", "component_id")

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from lectern.llm import pitman_yor, records
+from lectern.llm import near, pitman_yor, records
 from lectern.llm.common import batched
 
 
@@ -39,3 +39,12 @@ def test_own_contexts_are_the_commonest_words_however_spread(spark, monkeypatch)
     assert pitman_yor.commonest(docs, "text").tolist() == [np.array([xxhash.xxh64_intdigest("most", 5)], np.uint64).view(np.int64)[0]]
     assert pitman_yor.commonest(docs.limit(0), "text").tolist() == []
     batched(spark)
+
+
+def test_a_bucket_of_many_loses_no_link(spark, monkeypatch):
+    """All texts share 80 shingles and nothing more: four of them (similarity 0.82) are copies, which their one first partner in a bucket may well not be."""
+    monkeypatch.setattr(near, "NEXT", 1)
+    common = [f"c{i}" for i in range(84)]
+    texts = [common + [f"t{i}x{j}" for j in range(9 if i % 75 == 10 else 30)] for i in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert dict(near.near_copies(docs).collect()) == {i: 10 if i % 75 == 10 else i for i in range(300)}
