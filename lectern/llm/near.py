@@ -10,8 +10,8 @@ Candidates come from two kinds of buckets, and each is then verified on the whol
 
 Texts of equal shingle sets are folded into one before.  In a bucket every member meets first the ``NEXT``
 after it in an order that the bucket's key shuffles: all pairs of up to ``NEXT + 1`` members.  In larger buckets
-every two members that the links so far leave in different groups meet then, if the sizes of their sets allow the
-similarity at all.  A link inside a group changes no group, so the groups are those of all pairs of every bucket.
+every two members that the links so far leave in different groups meet then, if the sizes and the parities of their
+sets allow the similarity at all.  A link inside a group changes no group, so the groups are those of all pairs of every bucket.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .components import connected_components
 from .simhash import fingerprints_of
 
 BANDS, ROWS, NEXT, RADIUS = 20, 5, 3, 5
+#: 64-bit words of a set's parity.
+PARITY = 16
 _DRAWN = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64, endpoint=False)
 _XOR, _TIMES = _DRAWN[0], _DRAWN[1] | np.uint64(1)
 
@@ -117,20 +119,28 @@ def unmet(met: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def shared_sizes(held: DataFrame) -> DataFrame:
-    """(sig, n, k): the size of each set of ``held`` (sig, hashes), and how many of its hashes another of the sets has too."""
+    """(sig, n, k, p0, p1, ...): the size of each set of ``held`` (sig, hashes), how many of its hashes another of the sets has too, and its parity.
+
+    Each hash names one of ``64 * PARITY`` bits; a bit of the parity is 1 if an odd number of the set's hashes name it.  A hash that two sets
+    have turns the same bit in both, so their parities differ in no more bits than there are hashes that one of the two alone has.
+    """
     counts = held.dropDuplicates(["sig"]).select("sig", F.explode("hashes").alias("hash"))
     often = counts.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", F.lit(1).alias("often"))
-    return counts.join(often, "hash", "left").groupBy("sig").agg(F.count("*").alias("n"), F.count("often").alias("k"))
+    parity = [F.coalesce(F.expr(f"bit_xor(if(pmod(shiftright(hash, 6), {PARITY}) = {i}, shiftleft(1L, cast(hash & 63 as int)), 0L))"), F.lit(0).cast("long")).alias(f"p{i}") for i in range(PARITY)]
+    return counts.join(often, "hash", "left").groupBy("sig").agg(F.count("*").alias("n"), F.count("often").alias("k"), *parity)
 
 
 def others(members: DataFrame, sizes: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: the sets of one bucket of ``members`` that are in different components, were not ``tried`` and may be alike.
 
-    Two sets have no more in common than the lesser ``k`` of ``sizes``, so a pair for which that is too little is left out.
+    Two sets have no more in common than the lesser ``k`` of ``sizes``, and no fewer hashes that one of them alone has than their parities
+    have different bits, so a pair for which the one is too little or the other too much is left out.
     """
     placed = members.join(sizes.where(F.col("k") >= similarity * F.col("n")), "sig")
     most = F.least("a.k", "b.k")
     alike = most >= similarity * (F.col("a.n") + F.col("b.n") - most)
+    differ = " + ".join(f"bit_count(a.p{i} ^ b.p{i})" for i in range(PARITY))
+    alike &= F.expr(f"({differ}) * {1 + similarity}D <= {1 - similarity}D * (a.n + b.n) + 0.001D")  # verified exactly later
     apart = placed.alias("a").join(placed.alias("b"), (F.col("a.key") == F.col("b.key")) & F.expr(f"a.sig < b.sig and a.component <> b.component and {WITHIN}") & alike)
     return apart.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
 

@@ -55,3 +55,20 @@ def test_a_large_bucket_gives_pairs_in_proportion(spark):
     one = spark.range(2000).selectExpr("id AS sig", "1L AS key")
     pairs = near._pairs(one)
     assert 1900 < pairs.distinct().count() <= near.NEXT * 2000
+
+
+def test_a_large_bucket_of_edited_copies_gives_its_links_and_few_other_pairs(spark):
+    rng = random.Random(11)
+    core, drawn = [rng.getrandbits(63) - (1 << 62) for _ in range(146)], {}
+    for sig in range(400):  # windows of five around some words are gone; few of the texts share enough of them
+        gone = {i + j for i in rng.sample(range(142), rng.randrange(3, 12)) for j in range(5)}
+        drawn[sig] = frozenset(h if i not in gone else h + 1 for i, h in enumerate(core))
+    for sig in range(400, 420):  # and some are a text of these but for a hash
+        drawn[sig] = drawn[sig - 400] - {min(drawn[sig - 400])}
+    links = {(a, b) for a in drawn for b in drawn if a < b and len(drawn[a] & drawn[b]) >= 0.8 * len(drawn[a] | drawn[b])}
+    held = spark.createDataFrame([(s, list(h)) for s, h in drawn.items()], "sig long, hashes array<long>")
+    members = spark.createDataFrame([(1, s, None, s) for s in drawn], "key long, sig long, fp long, component long")
+    tried = spark.createDataFrame([], "a long, b long")
+    found = {tuple(r) for r in near.others(members, near.shared_sizes(held), tried, 0.8).collect()}
+    assert len(links) > 20 and links <= found
+    assert len(found) < 2 * len(links) < len(drawn) * (len(drawn) - 1) / 8
