@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LIFE_MS = 3_600_000
+_told = Row("key", "ms", "event_id", "what")
 
 
 class Cache(StatefulProcessor):
@@ -18,30 +18,26 @@ class Cache(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.entry = handle, handle.getValueState("entry", "put_ms long")
 
-    def _evict(self, key: tuple, at: int) -> tuple:
-        self.entry.clear()
-        return key[0], at, None, "evicted"
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        asked = pd.concat(list(rows)).sort_values(["ms", "event_id"])
-        put = self.entry.get()[0] if self.entry.exists() else None
-        out, timer = [], put
-        for ms, event in zip(asked["ms"].tolist(), asked["event_id"].tolist(), strict=True):
-            if put is not None and ms >= put + LIFE_MS:
-                out.append(self._evict(key, put + LIFE_MS))
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
+        asked = sorted(((r.ms, r.event_id) for r in rows), key=lambda r: [(v is None, v or 0) for v in r])
+        held = self.entry.get()
+        put = timer = held[0] if held else None
+        for ms, event in asked:
+            if put is not None and ms is not None and ms >= put + LIFE_MS:
+                yield _told(key[0], put + LIFE_MS, None, "evicted")
                 put = None
-            out.append((key[0], ms, event, "miss" if put is None else "hit"))
+            yield _told(key[0], ms, event, "miss" if put is None else "hit")
             put = ms if put is None else put
         if put != timer:
             if timer is not None:
                 self.handle.deleteTimer(timer + LIFE_MS)
             self.entry.update((put,))
             self.handle.registerTimer(put + LIFE_MS)
-        yield pd.DataFrame(out, columns=["key", "ms", "event_id", "what"]).astype({"event_id": "Int64"})
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        if self.entry.exists():
-            yield pd.DataFrame([self._evict(key, self.entry.get()[0] + LIFE_MS)], columns=["key", "ms", "event_id", "what"]).astype({"event_id": "Int64"})
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        """A key has one timer at most, that of the entry that its state holds."""
+        self.entry.clear()
+        yield _told(key[0], expiredTimerInfo.getExpiryTimeInMs(), None, "evicted")
 
     def close(self) -> None:
         pass
@@ -54,4 +50,4 @@ def cached(requests: DataFrame, late: str = "0 seconds") -> DataFrame:
     so bound the batches; rows later than ``late`` are left out.
     """
     rows = requests.withWatermark("at", late).withColumn("ms", F.unix_millis("at"))
-    return rows.groupBy("key").transformWithStateInPandas(Cache(), "key long, ms long, event_id long, what string", "Append", "EventTime")
+    return rows.groupBy("key").transformWithState(Cache(), "key long, ms long, event_id long, what string", "Append", "EventTime")
