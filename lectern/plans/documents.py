@@ -32,6 +32,11 @@ def exported(d) -> str:
     """The sentences of a document as plain text, a Markdown list, CSV lines, and JSON lines with title and number."""
     quoted = "chr(34) || replace(s.sentence, chr(34), chr(34) || chr(34)) || chr(34)"
     escaped = f"chr(34) || replace(replace(s.sentence, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)) || chr(34)"
+    if d.spark:  # a document's sentences are gathered once for all formats
+        quote, escape = "replace(x.sentence, chr(34), chr(34) || chr(34))", "replace(replace(x.sentence, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34))"
+        lines = {"txt": "x.sentence", "md": "'- ' || x.sentence", "csv": f"cast(x.sentence_no as string) || ',' || chr(34) || {quote} || chr(34)", "json": "'{\"n\":' || cast(x.sentence_no as string) || ',\"text\":' || chr(34) || " + escape + " || chr(34) || '}'"}
+        bodies = ", ".join(f"'{kind}', array_join(transform(ss, x -> {line}), chr(10))" for kind, line in lines.items())
+        return f"select doc_id, stack({len(lines)}, {bodies}) as (format, body) from (select doc_id, array_sort(collect_list(struct(id, sentence_no, sentence))) as ss from sentences s group by doc_id) g"
     kinds = {"txt": "s.sentence", "md": "'- ' || s.sentence", "csv": f"cast(s.sentence_no as string) || ',' || {quoted}", "json": "'{\"n\":' || cast(s.sentence_no as string) || ',\"text\":' || " + escaped + " || '}'"}
     return " union all ".join(f"select doc_id, '{kind}' as format, {d.string_agg('line', 'id', chr(10))} as body from (select s.doc_id, s.id, {line} as line from sentences s) {kind} group by doc_id" for kind, line in kinds.items())
 
