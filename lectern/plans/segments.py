@@ -290,23 +290,18 @@ def anchoring(blocks: DataFrame, stored: DataFrame) -> DataFrame:
     without any takes what is at least 0.30 alike.  Ids in the range of a block's matches are free no more; a block whose range
     holds a taken one gets no anchor.  The last anchor is extended to the document's last sentence.
 
-    What is alike is found by joins; only the order of blocks is left to a task, which holds the ids and the taken
-    intervals of one document at a time.  Rows of a null document, block, number or text take no part.
+    Both are dealt by document once; a task holds one document's sentences at a time and finds what is alike by their
+    rarest tokens, only for sentences that have no free equal.  Rows of a null document, block, number or text take no part.
     """
     from lectern.plans.scalars import normal
 
-    def normed(rows: DataFrame) -> DataFrame:
-        return rows.where("doc_id is not null and text is not null").withColumn("norm", F.expr(normal(SPARK, "text")))
+    def normed(rows: DataFrame, *columns) -> DataFrame:
+        return rows.where("doc_id is not null and text is not null").select("doc_id", *columns, F.expr(normal(SPARK, "text")).alias("norm"))
 
-    # both are read several times below, and the patterns of a normal form run once
-    asking = normed(blocks.where("block_no is not null and no is not null")).select("doc_id", "block_no", "no", "norm", F.expr(threshold("text")).alias("least"))
-    ours = kept(asking, "asking")
-    theirs = kept(normed(stored).groupBy("doc_id", "norm").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("key", F.col("ids")[0]), "forms")
-    alike = candidates(ours, theirs, LAST_RESORT).groupBy("doc_id", "norm").agg(F.sort_array(F.collect_list(F.struct("likeness", "key")), asc=False).alias("alike"))
-    equal = theirs.select("doc_id", "norm", "key")
-    asked = ours.join(equal, ["doc_id", "norm"], "left").join(alike, ["doc_id", "norm"], "left")
-    rows = theirs.select("doc_id", F.lit(None).cast("bigint").alias("block_no"), F.lit(None).cast("bigint").alias("no"), "key", "ids", F.lit(None).cast("double").alias("least"), F.lit(None).cast(alike.schema["alike"].dataType).alias("alike"))
-    rows = rows.unionByName(asked.select("doc_id", F.col("block_no").cast("bigint").alias("block_no"), F.col("no").cast("bigint").alias("no"), "key", F.lit(None).cast("array<bigint>").alias("ids"), F.col("least").cast("double").alias("least"), "alike"))
+    number = lambda name, of: F.col(of).cast("bigint").alias(name)
+    asking = normed(blocks.where("block_no is not null and no is not null"), number("block_no", "block_no"), number("no", "no"), F.expr(threshold("text")).cast("double").alias("least"))
+    forms = normed(stored.where("id is not null"), F.lit(None).cast("bigint").alias("block_no"), number("no", "id"), F.lit(None).cast("double").alias("least"))
+    rows = asking.unionByName(forms).select("doc_id", "block_no", "no", "norm", "least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -315,7 +310,9 @@ def anchoring(blocks: DataFrame, stored: DataFrame) -> DataFrame:
         while part := list(itertools.islice(out, 5000)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*part, strict=True), names, strict=True)], schema=pa.schema(names))
 
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", F.col("block_no").asc_nulls_first(), "no").mapInArrow(run, ANCHORED)
+    dealt = rows.repartition("doc_id").sortWithinPartitions("doc_id", F.col("block_no").asc_nulls_first(), "no", "norm")
+    # written once, so that nobody who reads them twice deals and compares the texts again; they are numbers and no texts
+    return kept(dealt.mapInArrow(run, ANCHORED), "anchors")
 
 
 def threshold(x: str) -> str:
