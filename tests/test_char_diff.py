@@ -68,3 +68,20 @@ def test_all_diagonals_at_once_give_the_same_script(monkeypatch):
     began = time.monotonic()
     ops = readable(script(a, a.upper()))
     assert sides(ops) == (a, a.upper()) and time.monotonic() - began < 15
+
+
+def test_one_way_alone_is_no_search(monkeypatch):
+    """STR18: where what both texts have can be kept in one way alone, the script is told without a search, and is that of the search."""
+    rng = random.Random(12)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice("abcd, EF") for _ in range(rng.randrange(60)))
+        pairs += [(a, a.upper()), (a, "".join(rng.choice("bcdxy, E") for _ in range(rng.randrange(60)))), (a, a[: len(a) // 3] + a[len(a) // 2 :].upper())]
+    told = [script(a, b) for a, b in pairs]
+    monkeypatch.setattr(char_diff, "_only_way", lambda x, y: None)
+    assert [script(a, b) for a, b in pairs] == told
+    monkeypatch.undo()
+    long = "Orre " * 3_000 + "orantion thatin, " * 10_000  # a capital that more words of the answer have
+    monkeypatch.setattr(char_diff, "_middle", None)  # not called
+    ops = script(long, long.upper())
+    assert sides(ops) == (long, long.upper()) and sum(len(t) for op, t in ops if op == 0) == sum(not c.islower() for c in long)
