@@ -301,3 +301,9 @@ def test_rules_for_two_lines_say_the_same_in_sql(spark):
 def test_markdown(spark):
     frame = evidence(spark, a=[("document_title", "T"), ("author", "A"), ("heading", "H"), ("paragraph", "p"), ("abstract_body", "b")])
     assert pages.markdown(frame).first().markdown == "T\n\n[AUTHOR] A\n\n\n## H\n\np\n\nb"
+
+
+def test_blocks_are_dealt_once_for_promotion(spark):
+    """PDF10, PDF12: all windows of a document go over one exchange of its blocks, and no join has them a second time."""
+    plan = pages.promoted(spark.createDataFrame([(1, 0, "paragraph", "x", 1, 72.0, 100.0, False, "journal")], BLOCK))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
