@@ -307,3 +307,12 @@ def test_blocks_are_dealt_once_for_promotion(spark):
     """PDF10, PDF12: all windows of a document go over one exchange of its blocks, and no join has them a second time."""
     plan = pages.promoted(spark.createDataFrame([(1, 0, "paragraph", "x", 1, 72.0, 100.0, False, "journal")], BLOCK))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_second_stage_reads_stored_blocks_once(spark):
+    """PDF12: promotions are made once and stored; all blocks, prose or not, go through one scan by archetype, academic and not."""
+    rows = [(1, 0, "paragraph", "A sentence here. Another one there.", 1, 72.0, 100.0, False, "journal"), (1, 1, "heading", "Some Heading", 1, 72.0, 130.0, False, "journal")]
+    sources = spark.createDataFrame([(1, "somewhere")], "doc_id long, source string")
+    out = pages.two_passes(spark, spark.createDataFrame(rows, BLOCK), sources, lambda again: None)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+    assert [(r.kind, r.sentence) for r in sorted(out.collect(), key=lambda r: (r.block_no, r.sentence_no))] == [("paragraph", "A sentence here."), ("paragraph", "Another one there."), ("heading", "Some Heading")]
